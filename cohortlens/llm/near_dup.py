@@ -9,11 +9,9 @@ Documents with equal sets form a class, and only each class's smallest doc_id is
 different sets of at least the asked similarity share no posted value with probability about
 ``(1 - threshold) ** posted`` (7e-12 for 0.8 and 16), and never when they have at most ``posted`` shingles.
 
-A list of over ``most`` documents is not expanded into its pairs.  It is first cut into lists by a
-second and a third shared value.  What is still longer is settled in rounds: all are compared with the
-list's smallest document, the pivot; those within half the allowed distance of it are done, as any further
-document they link with is within one and a half times that distance of the pivot, and just these are
-compared with them.  Each link found joins what all pairs would join, so the components are the same.
+A list of over ``most`` documents is not expanded into its pairs.  Near copies in great number are joined through
+leaders, one comparison for each copy, and lists of other documents are cut by further shared values; see ``_hot_links``.
+The components are the same as if all pairs had been compared.
 """
 
 from __future__ import annotations
@@ -123,42 +121,19 @@ def near_duplicates(
         return a.join(b, "v").filter((F.col("a") < F.col("b")) & near_size("na", "nb")).select("a", "b")
 
     sketches = reps.select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"])
-    ratio, margin = num / den, 3.5 * (num / den * (1 - num / den) / k) ** 0.5
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose estimate from the bottom k of the sketches' union is no worse than 3.5 standard errors below the threshold."""
+    def plausible(pairs: DataFrame, least: float = num / den) -> DataFrame:
+        """Pairs whose estimate from the bottom k of the sketches' union is no worse than 3.5 standard errors below ``least``."""
+        bound = least - 3.5 * (least * (1 - least) / k) ** 0.5
         both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
         bottom = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         common = F.size(F.array_intersect(F.array_intersect(bottom, F.col("sa")), F.col("sb")))
-        return both.filter(common >= F.size(bottom) * F.lit(ratio - margin)).select("a", "b")
-
-    short = plausible(all_pairs(listed.filter(F.col("size") <= most)).distinct())
-    candidates = ws.keep(short, "short")
+        return both.filter(common >= F.size(bottom) * F.lit(bound)).select("a", "b")
 
-    # Longer lists, cut by further shared values.
+    candidates = ws.keep(plausible(all_pairs(listed.filter(F.col("size") <= most)).distinct()), "short")
     hot = listed.filter(F.col("size") > most).select("v", "rep", "n", "at")
-    vals = posts.select("rep", "vals")
-    long_lists = None
-    if not hot.isEmpty():
-        for level, ahead in ((2, 3), (3, 2)):
-            rest = hot.join(vals, "rep").select("v", "rep", "n", F.posexplode("vals").alias("to", "w"), "at").filter((F.col("to") > F.col("at")) & (F.col("to") <= F.col("at") + ahead))
-            cut = rest.select(F.xxhash64("v", "w").alias("v"), "rep", "n", F.col("to").alias("at"))
-            sizes = ws.keep(cut.groupBy("v").count().filter("count > 1"), f"sizes{level}")
-            cut = ws.keep(cut.join(sizes, "v").select("v", "rep", "n", "at", F.col("count").alias("size")), f"cut{level}")
-            more = plausible(all_pairs(cut.filter(F.col("size") <= most)).distinct())
-            candidates = candidates.union(ws.keep(more, f"cut-pairs{level}"))
-            hot = cut.filter(F.col("size") > most).select("v", "rep", "n", "at")
-        long_lists = hot.select("v", "rep", "n")
-        # Many of these lists hold the same documents: one list of each content is enough.
-        same = long_lists.groupBy("v").agg(F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"), F.count(F.lit(1)).alias("c"))
-        one = ws.keep(same.groupBy("h", "c").agg(F.min("v").alias("v")).select("v"), "one")
-        long_lists = ws.keep(long_lists.join(one, "v", "left_semi"), "long")
-
-    candidates = candidates.distinct()
+    any_hot = not hot.isEmpty()
     involved = candidates.select(F.explode(F.array("a", "b")).alias("rep"))
-    if long_lists is not None:
-        involved = involved.union(long_lists.select("rep"))
-    involved = ws.keep(involved.distinct(), "involved")
+    involved = ws.keep((involved.union(hot.select("rep")) if any_hot else involved).distinct(), "involved")
     chosen = texts.join(involved.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = ws.keep(chosen.mapInArrow(_full_sets(width), "rep bigint, shingles array<bigint>").dropDuplicates(["rep"]), "sets")
 
@@ -172,30 +147,8 @@ def near_duplicates(
 
     linked = F.col("both") * den >= F.col("either") * num
     links = ws.keep(measured(candidates).filter(linked).select("a", "b"), "links")
-
-    lists, turn = long_lists, 0
-    while lists is not None and turn < 6:
-        pivots = ws.keep(lists.groupBy("v").agg(F.min("rep").alias("a")), f"pivots{turn}")
-        against = lists.join(pivots, "v").filter("rep <> a")
-        seen = ws.keep(measured(against.select("a", F.col("rep").alias("b")).distinct()), f"seen{turn}")
-        links = links.union(seen.filter(linked).select("a", "b"))
-        # Twice the distance times the union: 2 (either - both), against (1 - threshold) either.
-        far = 2 * (F.col("either") - F.col("both")) * den
-        rated = ws.keep(against.withColumnRenamed("rep", "b").join(seen, ["a", "b"]).select("v", F.col("b").alias("rep"), "n", (far <= F.col("either") * (den - num)).alias("close"), (~linked & (far <= 3 * F.col("either") * (den - num))).alias("border")), f"rated{turn}")
-        x = rated.filter("close").select("v", F.col("rep").alias("x"), F.col("n").alias("nx"))
-        y = rated.filter("border").select("v", F.col("rep").alias("y"), F.col("n").alias("ny"))
-        cross = x.join(y, "v").filter(near_size("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = links.union(ws.keep(measured(plausible(cross)).filter(linked).select("a", "b"), f"cross{turn}"))
-        open_ = rated.filter("not close").select("v", "rep", "n")
-        sizes = ws.keep(open_.groupBy("v").count().filter("count > 1"), f"left{turn}")
-        open_ = ws.keep(open_.join(sizes, "v"), f"open{turn}")
-        turn += 1
-        last = turn == 6
-        rest = ws.keep(plausible(all_pairs(open_ if last else open_.filter(F.col("count") <= most)).distinct()), f"rest{turn}")
-        links = links.union(ws.keep(measured(rest).filter(linked).select("a", "b"), f"rest-links{turn}"))
-        lists = open_.filter(F.col("count") > most).select("v", "rep", "n")
-        if lists.isEmpty():
-            break
+    if any_hot:
+        links = links.union(_hot_links(ws, hot, posts.select("rep", "vals"), links, all_pairs, plausible, measured, linked, num / den, most))
 
     roots = components(ws, links)
     roots = ws.keep(roots, "roots")
@@ -207,6 +160,76 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
+
+def _hot_links(ws, hot, vals, links, all_pairs, plausible, measured, linked, least, most, rounds=4):
+    """Links of documents that share values of long lists, enough of them for the components.
+
+    Leaders first: in each round a long list's smallest document that is still free is compared with the list's other free
+    documents, each with one leader.  Those that link follow it and leave the lists, which then hold the documents that
+    resemble few others.  A follower x is within 1 - least of its leader, so a document that links with x is within twice that of the
+    leader: just such documents, if not yet in its component, are compared with the leader's followers.
+    """
+    few = hot.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "v"))), 1, 4).alias("few"))
+    few = ws.keep(few.select("rep", F.explode("few.v").alias("v")), "few")
+    done, follows, free = None, None, few
+    for r in range(rounds):
+        lead = ws.keep(free.groupBy("v").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > most // 4).select("v", "a"), f"lead{r}")
+        mine = free.join(lead, "v").filter("rep <> a").groupBy("rep").agg(F.min("a").alias("a"))
+        now = ws.keep(measured(mine.select("a", F.col("rep").alias("b"))).filter(linked).select("a", "b"), f"follow{r}")
+        if now.isEmpty():
+            break
+        follows = now if follows is None else follows.union(now)
+        gone = follows.select(F.col("b").alias("rep")).union(follows.select(F.col("a").alias("rep"))).distinct()
+        done = ws.keep(gone, f"gone{r}")
+        free = ws.keep(free.join(done, "rep", "left_anti"), f"free{r}")
+    # Followers that lead others of a later round stay in the lists too.
+    out, rest = links.limit(0), hot
+    if follows is not None:
+        out = follows
+        leaders = ws.keep(follows.select("a").distinct(), "leaders")
+        quiet = follows.select(F.col("b").alias("rep")).join(leaders.select(F.col("a").alias("rep")), "rep", "left_anti").distinct()
+        rest = ws.keep(hot.join(quiet, "rep", "left_anti"), "rest")
+
+    # The lists of what is left, cut by a second and a third shared value where they are still long.
+    for level, ahead in ((1, 0), (2, 4), (3, 3)):
+        if ahead:
+            cut = rest.join(vals, "rep").select("v", "rep", "n", F.posexplode("vals").alias("to", "w"), "at").filter((F.col("to") > F.col("at")) & (F.col("to") <= F.col("at") + ahead))
+            rest = cut.select(F.xxhash64("v", "w").alias("v"), "rep", "n", F.col("to").alias("at"))
+        sizes = ws.keep(rest.groupBy("v").count().filter("count > 1"), f"sizes{level}")
+        lists = ws.keep(rest.join(sizes, "v").select("v", "rep", "n", "at", F.col("count").alias("size")), f"lists{level}")
+        if level == 1:
+            shared = lists
+        pairs = lists if level == 3 else lists.filter(F.col("size") <= most)
+        found = ws.keep(measured(plausible(all_pairs(pairs).distinct())).filter(linked).select("a", "b"), f"cut{level}")
+        out = out.union(found)
+        rest = lists.filter(F.col("size") > most).select("v", "rep", "n", "at")
+        if rest.isEmpty():
+            break
+    if follows is None:
+        return out
+
+    # Documents near a leader but not linked with it, in another component.
+    out = ws.keep(out, "most-links")
+    roots = ws.keep(components(ws, out.union(links), "so-far"), "so-far")
+
+    def apart(pairs):
+        """Pairs in different components so far."""
+        both = pairs.join(roots.select(F.col("node").alias("a"), F.col("component").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("component").alias("rb")), "b", "left")
+        return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+    led = shared.join(leaders.select(F.col("a").alias("rep")), "rep", "left_semi").select("v", F.col("rep").alias("a"))
+    near = ws.keep(apart(led.join(shared.select("v", F.col("rep").alias("b")), "v").filter("a <> b").select("a", "b").distinct()), "near-leaders")
+    far = 1 - 2 * (1 - least)
+    between = plausible(near.join(leaders.select(F.col("a").alias("b")), "b", "left_semi").filter("a < b"), 1 - 3 * (1 - least))
+    theirs = between.join(follows.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").select("a", F.col("y").alias("b"))
+    seen = ws.keep(measured(plausible(near, far).union(theirs).distinct()), "seen-leaders")
+    out = out.union(seen.filter(linked).select("a", "b"))
+    border = seen.filter(~linked & (F.col("both") >= far * F.col("either"))).select("a", F.col("b").alias("y"))
+    cross = border.join(follows.select("a", F.col("b").alias("x")), "a").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
+    cross = ws.keep(measured(plausible(apart(cross))).filter(linked).select("a", "b"), "cross")
+    return out.union(cross)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all ``documents`` by sets of 2-word shingles at a similarity of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
