@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import decontaminate, near_dup
 
 QUERIES = {
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
+    "op6_wu_manber_decontamination": decontaminate.op6_wu_manber_decontamination,
 }
 
 ORACLES = {
     "op3_minhash_near_dedup": near_dup.OP3_SQL,
+    "op6_wu_manber_decontamination": decontaminate.OP6_SQL,
 }
