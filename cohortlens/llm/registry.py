@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup
+from . import decontaminate, langid, near_dup
 
 QUERIES = {
+    "op1_ppm_language_id": langid.op1_ppm_language_id,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
     "op6_wu_manber_decontamination": decontaminate.op6_wu_manber_decontamination,
 }
