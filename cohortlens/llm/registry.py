@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, near_dup, quality
+from . import decontaminate, langid, near_dup, quality, toxicity
 
 QUERIES = {
     "op1_ppm_language_id": langid.op1_ppm_language_id,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
     "op6_wu_manber_decontamination": decontaminate.op6_wu_manber_decontamination,
+    "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
     "op8_nbsvm_quality": quality.op8_nbsvm_quality,
 }
 
