@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, near_dup, quality, toxicity
+from . import decontaminate, langid, mixing, near_dup, quality, toxicity
 
 QUERIES = {
     "op1_ppm_language_id": langid.op1_ppm_language_id,
@@ -10,9 +10,11 @@ QUERIES = {
     "op6_wu_manber_decontamination": decontaminate.op6_wu_manber_decontamination,
     "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
     "op8_nbsvm_quality": quality.op8_nbsvm_quality,
+    "op9_fair_queue_mixing": mixing.op9_fair_queue_mixing,
 }
 
 ORACLES = {
     "op3_minhash_near_dedup": near_dup.OP3_SQL,
     "op6_wu_manber_decontamination": decontaminate.OP6_SQL,
+    "op9_fair_queue_mixing": mixing.OP9_SQL,
 }
