@@ -74,7 +74,7 @@ def _hash(tables: int, polytopes: int, seed: int):
                     x = flat[to[part][:, None] + np.arange(d)]
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    mine = K.join_hash(batch.column(1).take(pa.array(part)).to_numpy().view(np.uint64)[:, None], np.full((len(part), 1), d, np.uint64))
+                    mine = K.join_hash(batch.column(1).take(pa.array(part)).to_numpy().view(np.uint64), np.full(len(part), d, np.uint64))[:, None]
                     found = K.mix(codes(x, tables, polytopes, seed) + mine)
                     n = found.shape[1]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * n), pa.array(found.ravel().view(np.int64)))
@@ -204,7 +204,7 @@ OP10_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),

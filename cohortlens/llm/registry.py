@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, near_dup, quality, toxicity
+from . import decontaminate, embedding_dup, langid, mixing, near_dup, quality, toxicity
 
 QUERIES = {
     "op1_ppm_language_id": langid.op1_ppm_language_id,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
     "op8_nbsvm_quality": quality.op8_nbsvm_quality,
     "op9_fair_queue_mixing": mixing.op9_fair_queue_mixing,
+    "op10_cross_polytope_dedup": embedding_dup.op10_cross_polytope_dedup,
 }
 
 ORACLES = {
     "op3_minhash_near_dedup": near_dup.OP3_SQL,
     "op6_wu_manber_decontamination": decontaminate.OP6_SQL,
     "op9_fair_queue_mixing": mixing.OP9_SQL,
+    "op10_cross_polytope_dedup": embedding_dup.OP10_SQL,
 }
