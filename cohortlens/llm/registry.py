@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dup, langid, mixing, near_dup, quality, toxicity
+from . import decontaminate, embedding_dup, langid, mixing, near_dup, quality, suffix_dup, toxicity
 
 QUERIES = {
     "op1_ppm_language_id": langid.op1_ppm_language_id,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
+    "op4_suffix_array_dedup": suffix_dup.op4_suffix_array_dedup,
     "op6_wu_manber_decontamination": decontaminate.op6_wu_manber_decontamination,
     "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
     "op8_nbsvm_quality": quality.op8_nbsvm_quality,
