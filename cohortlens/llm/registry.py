@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dup, langid, mixing, near_dup, quality, suffix_dup, toxicity
+from . import decontaminate, embedding_dup, html_extract, langid, mixing, near_dup, quality, suffix_dup, toxicity
 
 QUERIES = {
     "op1_ppm_language_id": langid.op1_ppm_language_id,
+    "op2_max_subsequence_html": html_extract.op2_max_subsequence_html,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
     "op4_suffix_array_dedup": suffix_dup.op4_suffix_array_dedup,
     "op6_wu_manber_decontamination": decontaminate.op6_wu_manber_decontamination,
