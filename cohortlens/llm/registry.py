@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dup, html_extract, langid, mixing, near_dup, quality, suffix_dup, toxicity
+from . import decontaminate, embedding_dup, html_extract, langid, mixing, near_dup, quality, suffix_dup, token_shards, toxicity
 
 QUERIES = {
     "op1_ppm_language_id": langid.op1_ppm_language_id,
     "op2_max_subsequence_html": html_extract.op2_max_subsequence_html,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
     "op4_suffix_array_dedup": suffix_dup.op4_suffix_array_dedup,
+    "op5_feistel_token_shards": token_shards.op5_feistel_token_shards,
     "op6_wu_manber_decontamination": decontaminate.op6_wu_manber_decontamination,
     "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
     "op8_nbsvm_quality": quality.op8_nbsvm_quality,
