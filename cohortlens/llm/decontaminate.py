@@ -183,6 +183,13 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     return rows.mapInArrow(_scan(block, False), f"doc_id bigint, n_words bigint, n_hit bigint, spans {SPANS}, items array<string>")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated; rows without a doc_id are judged by their text too."""
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    bad = contamination(benchmark_passages(docs.select(key.alias("doc_id"), "text"), benchmark, window)).filter("contaminated")
+    return docs.withColumn("_key", key).join(bad.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+
+
 def contamination(passages: DataFrame) -> DataFrame:
     """Adds contaminated: at least one word in twenty, and one at all, lies inside an occurrence."""
     return passages.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

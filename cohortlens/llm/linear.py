@@ -139,14 +139,15 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[
     return float(max(a, 1e-6) / scale), float(b)
 
 
-def _score(shared, features: Features):
+def _score(shared, features: Features, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, offset = shared.value
         for batch in batches:
-            for lo, hi, raw, at, _ in K.chunks(batch.column(1)):
+            for lo, hi, raw, at, _ in K.chunks(batch.column(text_at)):
                 key = features(raw, at)
                 margin = np.bincount(key >> BITS, weights[key & (BUCKETS - 1)], hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(logistic(margin + offset))], names=["doc_id", "score"])
+                kept = batch.slice(lo, hi - lo).columns[: None if text_at == 0 else text_at]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(logistic(margin + offset))], names=[*batch.schema.names[: len(kept)], "score"])
 
     return run
 
@@ -155,4 +156,11 @@ def score(docs: DataFrame, weights: np.ndarray, offset: float, features: Feature
     """doc_id, score for each row of docs from its whole text; a null or empty text has no features and gets the offset's score."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, offset))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_score(shared, features), "doc_id bigint, score double")
+    return texts.mapInArrow(_score(shared, features, 1), "doc_id bigint, score double")
+
+
+def above(docs: DataFrame, weights: np.ndarray, offset: float, features: Features, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least ``least``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights, offset))
+    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    return packed.mapInArrow(_score(shared, features, 0), packed.schema.add("score", "double")).filter(F.col("score") >= least).select("row.*")
