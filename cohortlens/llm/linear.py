@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import bounded_sample
@@ -163,4 +164,5 @@ def above(docs: DataFrame, weights: np.ndarray, offset: float, features: Feature
     """The rows of docs, all columns, whose score is at least ``least``; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, offset))
     packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
-    return packed.mapInArrow(_score(shared, features, 0), packed.schema.add("score", "double")).filter(F.col("score") >= least).select("row.*")
+    schema = T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())])
+    return packed.mapInArrow(_score(shared, features, 0), schema).filter(F.col("score") >= least).select("row.*")
