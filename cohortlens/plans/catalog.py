@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grouping, interpreting, preferring, preparing
+from . import fitting, grouping, interpreting, preferring, preparing
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "grouping", "interpreting", "preferring", "preparing"]
+__all__ = ["ORACLES", "QUERIES", "fitting", "grouping", "interpreting", "preferring", "preparing"]
