@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import manhattan
 from ..operators import gower, scaling, views
+from ..sources import ingest
 from .registry import query
 
 
@@ -165,3 +166,18 @@ SELECT cluster::BIGINT AS cluster, n, round(spend, 6) AS spend, round(orders, 6)
 def kproto_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     near, spec = _prototyped(spark, sf_dir)
     return _six(gower.update_prototypes(near.withColumn("cluster", F.col("cluster").cast("bigint")), spec, "cluster").select("cluster", "n", "spend", "orders", "segment"))
+
+
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("""WITH t AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60) SELECT u.user_id AS id, """ + ", ".join(f"max((t.event_type = '{t}')::INT)::DOUBLE AS {t}" for t in TYPES) + " FROM (SELECT DISTINCT user_id FROM t) u JOIN t USING (user_id) GROUP BY u.user_id")
+def multiselect_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pick-several column of packed options, back to one 0/1 column an option."""
+    t = views.table(spark, sf_dir, "events").filter("value > 60").groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("q"))
+    return ingest.expand_multiselect(t, "q", TYPES).select("id", *(F.col(f"`{ingest.option_column('q', o)}`").alias(o) for o in TYPES))
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', 'id'), ('c_name', 'skipped'), ('c_nationkey', 'continuous'), ('c_acctbal', 'continuous'), ('c_mktsegment', 'categorical')) v(\"column\", role)")
+def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.classify_columns(views.table(spark, sf_dir, "customer"), "c_custkey").table(spark)

@@ -1 +1 @@
-
+"""Scoring streams of new respondents."""
