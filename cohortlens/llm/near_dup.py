@@ -10,7 +10,7 @@ different sets of at least the asked similarity share no posted value with proba
 ``(1 - threshold) ** posted`` (7e-12 for 0.8 and 16), and never when they have at most ``posted`` shingles.
 
 A list of over ``most`` documents is not expanded into its pairs.  Near copies in great number are joined through
-leaders, one comparison for each copy, and lists of other documents are cut by further shared values; see ``_hot_links``.
+leaders, one comparison for each copy, and lists of other documents are cut by further shared values; see ``_hot_pairs``.
 The components are the same as if all pairs had been compared.
 """
 
@@ -86,7 +86,7 @@ def near_duplicates(
     threshold: tuple[int, int] = (4, 5),
     k: int = 48,
     posted: int = 16,
-    most: int = 48,
+    most: int = 32,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``threshold`` (numerator, denominator).
 
@@ -129,26 +129,47 @@ def near_duplicates(
         common = F.size(F.array_intersect(F.array_intersect(bottom, F.col("sa")), F.col("sb")))
         return both.filter(common >= F.size(bottom) * F.lit(bound)).select("a", "b")
 
-    candidates = ws.keep(plausible(all_pairs(listed.filter(F.col("size") <= most)).distinct()), "short")
-    hot = listed.filter(F.col("size") > most).select("v", "rep", "n", "at")
-    any_hot = not hot.isEmpty()
-    involved = candidates.select(F.explode(F.array("a", "b")).alias("rep"))
-    involved = ws.keep((involved.union(hot.select("rep")) if any_hot else involved).distinct(), "involved")
-    chosen = texts.join(involved.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = ws.keep(chosen.mapInArrow(_full_sets(width), "rep bigint, shingles array<bigint>").dropDuplicates(["rep"]), "sets")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """a, b with the sizes of their sets' intersection and union."""
+    def full_sets(pairs: DataFrame, name: str) -> DataFrame:
+        """The whole sets of the documents in pairs, made anew from their texts."""
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        chosen = texts.join(ws.keep(involved, f"{name}-ids"), "doc_id", "left_semi")
+        return ws.keep(chosen.mapInArrow(_full_sets(width), "rep bigint, shingles array<bigint>"), name).dropDuplicates(["rep"])
+
+    def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b, whether they link, and their Jaccard distance."""
         a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(b, "b").join(a, "a")
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.select("a", "b", common.alias("both"), (F.size("sa") + F.size("sb") - common).alias("either"))
+        either = F.size("sa") + F.size("sb") - common
+        return pairs.join(b, "b").join(a, "a").select("a", "b", (common * den >= either * num).alias("linked"), (1 - common / either).alias("far"))
+
+    def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among pairs."""
+        return distances(pairs, sets).filter("linked").select("a", "b")
 
-    linked = F.col("both") * den >= F.col("either") * num
-    links = ws.keep(measured(candidates).filter(linked).select("a", "b"), "links")
-    if any_hot:
-        links = links.union(_hot_links(ws, hot, posts.select("rep", "vals"), links, all_pairs, plausible, measured, linked, num / den, most))
+    def once(lists: DataFrame, name: str) -> DataFrame:
+        """One of the lists of each content: those of a group of near copies are mostly equal."""
+        key = lists.groupBy("v").agg(F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"), F.count(F.lit(1)).alias("c"))
+        one = ws.keep(key.groupBy("h", "c").agg(F.min("v").alias("v")).select("v"), name)
+        return lists.join(one, "v", "left_semi")
+
+    cold = once(listed.filter(F.col("size") <= most), "cold-once")
+    candidates = ws.keep(plausible(all_pairs(cold).distinct()), "cold")
+    hot = listed.filter(F.col("size") > most).select("v", "rep", "n", "at")
+    if hot.isEmpty():
+        links = ws.keep(measured(candidates, full_sets(candidates, "sets")), "links")
+    else:
+        # A list's leader is its document with most values in long lists, as the least edited copy has.
+        many = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("many"), F.slice(F.array_sort(F.collect_list(F.struct("at", "v"))), 1, 4).alias("few"))
+        few = ws.keep(many.select("rep", "many", F.explode("few.v").alias("v")), "few")
+        lead = ws.keep(few.groupBy("v").agg(F.min_by("rep", F.struct(-F.col("many"), F.col("rep"))).alias("a"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > most // 4).select("v", "a"), "lead")
+        led = few.join(lead, "v").filter("rep <> a").groupBy("rep").agg(F.min("a").alias("a"))
+        led = ws.keep(plausible(led.select("a", F.col("rep").alias("b"))), "led")
+        sets = full_sets(candidates.union(led), "sets")
+        seen = ws.keep(distances(led, sets), "seen")
+        links = ws.keep(measured(candidates, sets).union(seen.filter("linked").select("a", "b")).distinct(), "links")
+        more = ws.keep(_hot_pairs(ws, hot, posts.select("rep", "vals"), links, seen, all_pairs, plausible, once, num / den, most), "more")
+        links = links.union(ws.keep(measured(more, full_sets(more, "more-sets")), "more-links"))
 
     roots = components(ws, links)
     roots = ws.keep(roots, "roots")
@@ -161,73 +182,53 @@ def near_duplicates(
 
 
 
-def _hot_links(ws, hot, vals, links, all_pairs, plausible, measured, linked, least, most, rounds=4):
-    """Links of documents that share values of long lists, enough of them for the components.
+def _hot_pairs(ws, hot, vals, links, seen, all_pairs, plausible, once, least, most):
+    """Candidate pairs of documents that share values of long lists, enough of them for the components.
 
-    Leaders first: in each round a long list's smallest document that is still free is compared with the list's other free
-    documents, each with one leader.  Those that link follow it and leave the lists, which then hold the documents that
-    resemble few others.  A follower x is within 1 - least of its leader, so a document that links with x is within twice that of the
-    leader: just such documents, if not yet in its component, are compared with the leader's followers.
+    Followers, which link with a leader, leave the lists; the lists then hold the documents that resemble few others, and
+    are cut by a second and a third shared value where they are still long.  A follower is within 1 - least of its leader,
+    so a document that links with it is within twice that of the leader: just such documents, if not yet in
+    its component, are paired with those of the leader's followers that can be near enough.
     """
-    few = hot.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "v"))), 1, 4).alias("few"))
-    few = ws.keep(few.select("rep", F.explode("few.v").alias("v")), "few")
-    done, follows, free = None, None, few
-    for r in range(rounds):
-        lead = ws.keep(free.groupBy("v").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > most // 4).select("v", "a"), f"lead{r}")
-        mine = free.join(lead, "v").filter("rep <> a").groupBy("rep").agg(F.min("a").alias("a"))
-        now = ws.keep(measured(mine.select("a", F.col("rep").alias("b"))).filter(linked).select("a", "b"), f"follow{r}")
-        if now.isEmpty():
-            break
-        follows = now if follows is None else follows.union(now)
-        gone = follows.select(F.col("b").alias("rep")).union(follows.select(F.col("a").alias("rep"))).distinct()
-        done = ws.keep(gone, f"gone{r}")
-        free = ws.keep(free.join(done, "rep", "left_anti"), f"free{r}")
-    # Followers that lead others of a later round stay in the lists too.
-    out, rest = links.limit(0), hot
-    if follows is not None:
-        out = follows
-        leaders = ws.keep(follows.select("a").distinct(), "leaders")
-        quiet = follows.select(F.col("b").alias("rep")).join(leaders.select(F.col("a").alias("rep")), "rep", "left_anti").distinct()
-        rest = ws.keep(hot.join(quiet, "rep", "left_anti"), "rest")
-
-    # The lists of what is left, cut by a second and a third shared value where they are still long.
+    follows = seen.filter("linked").select("a", "b", "far")
+    leaders = ws.keep(follows.select(F.col("a").alias("rep")).distinct(), "leaders")
+    quiet = follows.select(F.col("b").alias("rep")).join(leaders, "rep", "left_anti").distinct()
+    rest = ws.keep(hot.join(quiet, "rep", "left_anti"), "rest")
+    start, out = rest, None
     for level, ahead in ((1, 0), (2, 4), (3, 3)):
         if ahead:
             cut = rest.join(vals, "rep").select("v", "rep", "n", F.posexplode("vals").alias("to", "w"), "at").filter((F.col("to") > F.col("at")) & (F.col("to") <= F.col("at") + ahead))
             rest = cut.select(F.xxhash64("v", "w").alias("v"), "rep", "n", F.col("to").alias("at"))
         sizes = ws.keep(rest.groupBy("v").count().filter("count > 1"), f"sizes{level}")
         lists = ws.keep(rest.join(sizes, "v").select("v", "rep", "n", "at", F.col("count").alias("size")), f"lists{level}")
-        if level == 1:
-            shared = lists
-        pairs = lists if level == 3 else lists.filter(F.col("size") <= most)
-        found = ws.keep(measured(plausible(all_pairs(pairs).distinct())).filter(linked).select("a", "b"), f"cut{level}")
-        out = out.union(found)
+        pairs = once(lists if level == 3 else lists.filter(F.col("size") <= most), f"once{level}")
+        found = ws.keep(plausible(all_pairs(pairs).distinct()), f"cut{level}")
+        out = found if out is None else out.union(found)
         rest = lists.filter(F.col("size") > most).select("v", "rep", "n", "at")
         if rest.isEmpty():
             break
-    if follows is None:
-        return out
+    if leaders.isEmpty():
+        return out.distinct()
 
-    # Documents near a leader but not linked with it, in another component.
-    out = ws.keep(out, "most-links")
-    roots = ws.keep(components(ws, out.union(links), "so-far"), "so-far")
+    roots = ws.keep(components(ws, links, "so-far"), "so-far")
 
     def apart(pairs):
         """Pairs in different components so far."""
         both = pairs.join(roots.select(F.col("node").alias("a"), F.col("component").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("component").alias("rb")), "b", "left")
         return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
-    led = shared.join(leaders.select(F.col("a").alias("rep")), "rep", "left_semi").select("v", F.col("rep").alias("a"))
-    near = ws.keep(apart(led.join(shared.select("v", F.col("rep").alias("b")), "v").filter("a <> b").select("a", "b").distinct()), "near-leaders")
-    far = 1 - 2 * (1 - least)
-    between = plausible(near.join(leaders.select(F.col("a").alias("b")), "b", "left_semi").filter("a < b"), 1 - 3 * (1 - least))
-    theirs = between.join(follows.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").select("a", F.col("y").alias("b"))
-    seen = ws.keep(measured(plausible(near, far).union(theirs).distinct()), "seen-leaders")
-    out = out.union(seen.filter(linked).select("a", "b"))
-    border = seen.filter(~linked & (F.col("both") >= far * F.col("either"))).select("a", F.col("b").alias("y"))
-    cross = border.join(follows.select("a", F.col("b").alias("x")), "a").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
-    cross = ws.keep(measured(plausible(apart(cross))).filter(linked).select("a", "b"), "cross")
-    return out.union(cross)
+    led = start.join(leaders, "rep", "left_semi").select("v", F.col("rep").alias("a"))
+    shared = led.join(start.select("v", F.col("rep").alias("b")), "v").filter("a <> b").select("a", "b").distinct()
+    near = ws.keep(plausible(apart(shared), 1 - 2 * (1 - least)), "near-leaders")
+    # Followers of two leaders that are near enough for a link between their followers.
+    theirs = plausible(near.join(leaders.withColumnRenamed("rep", "b"), "b", "left_semi").select("a", "b"), 1 - 3 * (1 - least))
+    theirs = theirs.join(follows.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").select("a", F.col("y").alias("b"))
+    # By the triangle inequality, x links with y only if y is at most 1 - least further from their leader.
+    known = near.union(theirs).distinct().join(seen.select("a", "b", F.col("far").alias("fy")), ["a", "b"], "left").withColumnRenamed("b", "y")
+    reach = F.coalesce(F.col("fy") - F.col("far") <= 1 - least + 1e-9, F.lit(True))
+    followers = follows.withColumnRenamed("b", "x")
+    cross = known.join(followers, (known["a"] == followers["a"]) & reach).select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
+    return out.union(plausible(apart(cross))).distinct()
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
