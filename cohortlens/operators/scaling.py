@@ -68,7 +68,7 @@ def code_levels(df: DataFrame, column: str, missing: str | None = None) -> DataF
     text = F.col(column).cast("string")
     df = df.withColumn("_level", text if missing is None else F.coalesce(text, F.lit(missing)))
     levels = df.filter("_level is not null").select("_level").distinct().withColumn("code", F.row_number().over(Window.orderBy("_level")).cast("bigint") - 1)
-    return df.join(F.broadcast(levels), "_level", "left").drop("_level")
+    return df.join(levels, "_level", "left").drop("_level")  # small levels are broadcast by their measured size
 
 
 def recode(text: Column, scales: list[list[str]]) -> Column:
