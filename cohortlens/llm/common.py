@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (kept for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,7 +52,7 @@ def fold(column: str, n: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows for each value of ``by``, taken by a hash of ``order``; whole groups where they are smaller.
+    """At most ``most`` rows for each value of ``by``, of which there are few (languages, classes), taken by a hash of ``order``; whole groups where they are smaller.
 
     A threshold on the hash, from counts of each group, first leaves about 1.2 times the bound,
     so that the exact cut ranks a bounded number of rows in a task however large the group is.
