@@ -121,9 +121,9 @@ def near_duplicates(
         return a.join(b, "v").filter((F.col("a") < F.col("b")) & near_size("na", "nb")).select("a", "b")
 
     sketches = reps.select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"])
-    def plausible(pairs: DataFrame, least: float = num / den) -> DataFrame:
-        """Pairs whose estimate from the bottom k of the sketches' union is no worse than 3.5 standard errors below ``least``."""
-        bound = least - 3.5 * (least * (1 - least) / k) ** 0.5
+    def plausible(pairs: DataFrame, least: float = num / den, errors: float = 3.5) -> DataFrame:
+        """Pairs whose estimate from the bottom k of the sketches' union is no worse than ``errors`` standard errors below ``least``."""
+        bound = least - errors * (least * (1 - least) / k) ** 0.5
         both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
         bottom = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         common = F.size(F.array_intersect(F.array_intersect(bottom, F.col("sa")), F.col("sb")))
@@ -219,16 +219,17 @@ def _hot_pairs(ws, hot, vals, links, seen, all_pairs, plausible, once, least, mo
 
     led = start.join(leaders, "rep", "left_semi").select("v", F.col("rep").alias("a"))
     shared = led.join(start.select("v", F.col("rep").alias("b")), "v").filter("a <> b").select("a", "b").distinct()
-    near = ws.keep(plausible(apart(shared), 1 - 2 * (1 - least)), "near-leaders")
+    # This bound is met only where all three lie in line, so two standard errors are wide enough.
+    near = ws.keep(plausible(apart(shared), 1 - 2 * (1 - least), 2.0), "near-leaders")
     # Followers of two leaders that are near enough for a link between their followers.
-    theirs = plausible(near.join(leaders.withColumnRenamed("rep", "b"), "b", "left_semi").select("a", "b"), 1 - 3 * (1 - least))
+    theirs = near.join(leaders.withColumnRenamed("rep", "b"), "b", "left_semi").select("a", "b")
     theirs = theirs.join(follows.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").select("a", F.col("y").alias("b"))
     # By the triangle inequality, x links with y only if y is at most 1 - least further from their leader.
-    known = near.union(theirs).distinct().join(seen.select("a", "b", F.col("far").alias("fy")), ["a", "b"], "left").withColumnRenamed("b", "y")
+    known = near.union(apart(theirs)).distinct().join(seen.select("a", "b", F.col("far").alias("fy")), ["a", "b"], "left").withColumnRenamed("b", "y")
     reach = F.coalesce(F.col("fy") - F.col("far") <= 1 - least + 1e-9, F.lit(True))
     followers = follows.withColumnRenamed("b", "x")
     cross = known.join(followers, (known["a"] == followers["a"]) & reach).select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
-    return out.union(plausible(apart(cross))).distinct()
+    return out.union(plausible(cross)).distinct()
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
