@@ -60,7 +60,9 @@ def _outside(name: str, attrs: str, in_article: bool) -> bool:
             return True
         if key in ("class", "id"):
             words = set(_WORD.findall(value))
-            if words & MARKS or (("header" in words or "top" in words) and not in_article):
+            if words & {"has", "with", "no"}:  # such as has-sidebar, on what holds the article too
+                continue
+            if words & MARKS or ("header" in words and not in_article):
                 return True
     return False
 
