@@ -121,9 +121,9 @@ def near_duplicates(
         return a.join(b, "v").filter((F.col("a") < F.col("b")) & near_size("na", "nb")).select("a", "b")
 
     sketches = reps.select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"])
-    def plausible(pairs: DataFrame, least: float = num / den, errors: float = 3.5) -> DataFrame:
-        """Pairs whose estimate from the bottom k of the sketches' union is no worse than ``errors`` standard errors below ``least``."""
-        bound = least - errors * (least * (1 - least) / k) ** 0.5
+    def plausible(pairs: DataFrame, least: float = num / den) -> DataFrame:
+        """Pairs whose estimate from the bottom k of the sketches' union is no worse than 3.5 standard errors below ``least``."""
+        bound = least - 3.5 * (least * (1 - least) / k) ** 0.5
         both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
         bottom = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         common = F.size(F.array_intersect(F.array_intersect(bottom, F.col("sa")), F.col("sb")))
@@ -168,7 +168,7 @@ def near_duplicates(
         sets = full_sets(candidates.union(led), "sets")
         seen = ws.keep(distances(led, sets), "seen")
         links = ws.keep(measured(candidates, sets).union(seen.filter("linked").select("a", "b")).distinct(), "links")
-        more = ws.keep(_hot_pairs(ws, hot, posts.select("rep", "vals"), links, seen, all_pairs, plausible, once, num / den, most), "more")
+        more = ws.keep(_hot_pairs(ws, hot, posts.select("rep", "vals"), links, seen, all_pairs, plausible, once, full_sets, distances, num / den, most), "more")
         links = links.union(ws.keep(measured(more, full_sets(more, "more-sets")), "more-links"))
 
     roots = components(ws, links)
@@ -182,13 +182,14 @@ def near_duplicates(
 
 
 
-def _hot_pairs(ws, hot, vals, links, seen, all_pairs, plausible, once, least, most):
+def _hot_pairs(ws, hot, vals, links, seen, all_pairs, plausible, once, full_sets, distances, least, most):
     """Candidate pairs of documents that share values of long lists, enough of them for the components.
 
     Followers, which link with a leader, leave the lists; the lists then hold the documents that resemble few others, and
     are cut by a second and a third shared value where they are still long.  A follower is within 1 - least of its leader,
-    so a document that links with it is within twice that of the leader: just such documents, if not yet in
-    its component, are paired with those of the leader's followers that can be near enough.
+    so a document that links with it is within twice that of the leader, and the leader of one that is itself a
+    follower within three times: just such documents, if not yet in its component, are paired with those of the
+    leader's followers that can be near enough.
     """
     follows = seen.filter("linked").select("a", "b", "far")
     leaders = ws.keep(follows.select(F.col("a").alias("rep")).distinct(), "leaders")
@@ -217,18 +218,26 @@ def _hot_pairs(ws, hot, vals, links, seen, all_pairs, plausible, once, least, mo
         both = pairs.join(roots.select(F.col("node").alias("a"), F.col("component").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("component").alias("rb")), "b", "left")
         return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
+    gap = 1 - least
     led = start.join(leaders, "rep", "left_semi").select("v", F.col("rep").alias("a"))
     shared = led.join(start.select("v", F.col("rep").alias("b")), "v").filter("a <> b").select("a", "b").distinct()
-    # This bound is met only where all three lie in line, so two standard errors are wide enough.
-    near = ws.keep(plausible(apart(shared), 1 - 2 * (1 - least), 2.0), "near-leaders")
-    # Followers of two leaders that are near enough for a link between their followers.
-    theirs = near.join(leaders.withColumnRenamed("rep", "b"), "b", "left_semi").select("a", "b")
-    theirs = theirs.join(follows.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").select("a", F.col("y").alias("b"))
-    # By the triangle inequality, x links with y only if y is at most 1 - least further from their leader.
-    known = near.union(apart(theirs)).distinct().join(seen.select("a", "b", F.col("far").alias("fy")), ["a", "b"], "left").withColumnRenamed("b", "y")
-    reach = F.coalesce(F.col("fy") - F.col("far") <= 1 - least + 1e-9, F.lit(True))
+    near = ws.keep(plausible(apart(shared), 1 - 2 * gap), "near-leaders")
+    # Two followers that link are each within gap of their leaders, so the leaders are within three times that;
+    # a value that the followers share brings their groups together, whether or not the leaders have it.
+    groups = led.union(hot.join(follows.select("a", F.col("b").alias("rep")), "rep").select("v", "a")).distinct()
+    groups = ws.keep(once(ws.keep(groups.withColumnRenamed("a", "rep"), "groups"), "groups-once"), "groups-of-once")
+    rivals = groups.select("v", F.col("rep").alias("a")).join(groups.select("v", F.col("rep").alias("b")), "v").filter("a < b").select("a", "b").distinct()
+    rivals = ws.keep(plausible(apart(rivals), 1 - 3 * gap), "rivals")
+    sets = full_sets(near.union(rivals), "near-sets")
+    near = ws.keep(distances(near, sets).select("a", "b", F.col("far").alias("d")), "near-far")
+    rivals = ws.keep(distances(rivals, sets).filter(F.col("far") <= 3 * gap + 1e-9).select("a", "b", F.col("far").alias("d")), "rivals-far")
+    # By the triangle inequality, x of leader a links with y only if x is no nearer to a than need: the distance of a and y
+    # less gap, which is at least that of both leaders less the one of y and its own.
+    known = near.select("a", F.col("b").alias("y"), (F.col("d") - gap).alias("need"))
+    theirs = rivals.join(follows.select(F.col("a").alias("b"), F.col("b").alias("y"), "far"), "b").select("a", "y", (F.col("d") - F.col("far") - gap).alias("need"))
+    known = known.union(theirs).filter(F.col("need") <= gap + 1e-9).groupBy("a", "y").agg(F.max("need").alias("need"))
     followers = follows.withColumnRenamed("b", "x")
-    cross = known.join(followers, (known["a"] == followers["a"]) & reach).select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
+    cross = known.join(followers, "a").filter(F.col("far") >= F.col("need") - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
     return out.union(plausible(cross)).distinct()
 
 

@@ -202,6 +202,24 @@ def test_near_duplicates_with_long_lists(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("seed", [1267, 4305])
+def test_near_duplicates_of_two_groups_joined_by_followers(spark, seed):
+    """Two groups of near copies, leaders at about 0.53 with an estimate of under 0.4; only a follower of each link."""
+    rng = random.Random(seed)
+    steps = [[f"a{rng.randrange(10**6)}" for _ in range(220)]]
+    for at in (0, 60, 120):
+        t = list(steps[-1])
+        t[at : at + 22] = [f"b{rng.randrange(10**6)}" for _ in range(22)]
+        steps.append(t)
+    a, x, y, b = steps
+    rows = [a, *([*a[:-1], f"m{i}"] for i in range(40)), b, *([*b[:-1], f"n{i}"] for i in range(40)), x, y]
+    texts: dict[int, str | None] = {i: " ".join(t) for i, t in enumerate(rows)}
+    want = brute_near(texts, 2)
+    assert set(want.values()) == {0}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, width=2).collect()} == want
+
+
 def test_near_duplicate_edges(spark, odd):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
