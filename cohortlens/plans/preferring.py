@@ -155,7 +155,8 @@ def planner_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hb_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean hierarchical utilities and counting scores side by side."""
+    """Mean hierarchical utilities of all respondents and counting scores side by side, and whether the chains settled."""
     c = views.choices(spark, sf_dir)
-    draws, _ = choice.hb_utilities(c, steps=600, burn=300, chains=2, most_people=400)
-    return draws.groupBy("item").agg(F.avg("value").alias("utility")).join(choice.counts(c).select("item", "score"), "item")
+    draws, _ = choice.hb_utilities(c)
+    means = draws.groupBy("item").agg(F.avg("value").alias("utility"), F.max("rhat").alias("rhat"), F.max("n_used").alias("n_used"))
+    return means.withColumn("settled", F.col("rhat") < choice.SETTLED).join(choice.counts(c).select("item", "score"), "item")

@@ -162,6 +162,23 @@ def test_hierarchical_utilities_follow_counts(spark):
     assert choice.split_rhat(draws.drop("chain")).first()["rhat"] < 1.5
 
 
+def test_hierarchical_utilities_are_of_everybody(spark):
+    rows = [(p, s, f"i{(p + s + j) % 4}", ["best", "", "worst"][j]) for p in range(2100) for s in range(2) for j in range(3)]
+    long = spark.createDataFrame(rows, "respondent_id bigint, set bigint, item string, choice string")
+    draws, people = choice.hb_utilities(long, steps=60, burn=10, chains=1)
+    assert people.select("respondent_id").distinct().count() == 2100
+    one = draws.select("rhat", "n_used").distinct().collect()
+    assert len(one) == 1 and one[0]["n_used"] == 2100
+    assert np.isclose(choice.split_rhat(draws).first()["rhat"], one[0]["rhat"])
+
+
+def test_unsettled_chains_are_drawn_longer(monkeypatch):
+    lengths, data = ((60, 10), (90, 10), (120, 10)), (np.array([0, 1]), np.array([[0, 1, 2], [0, 1, 2]]), np.array([2, 2]), np.array([0, 1]), 2, 3, 1)
+    for settled, kept in ((1e9, 10), (0.0, 22)):
+        monkeypatch.setattr(choice, "SETTLED", settled)
+        assert len(choice._settled(lengths, *data)[0]) == kept
+
+
 def test_reach_greedy_equals_exhaustive_on_clear_data(spark, monkeypatch):
     hits = spark.createDataFrame([(p, i) for p in range(60) for i in (["a"] if p < 30 else ["b", "d"] if p < 50 else ["c"])], "id int, item string")
     items = list("abcd")
