@@ -236,21 +236,26 @@ def lca_full(answers: DataFrame, k: int, steps: int = 20, seed: int = 42) -> tup
     return post, float(ll)
 
 
-def consensus_partition(people: DataFrame, k: int, reps: int = 20, most: int = 1500, seed: int = 42) -> DataFrame:
-    """(id, cluster): average linkage on one minus the consensus of resampled k-means; for at most ``most`` people, in one task."""
+def consensus_partition(people: DataFrame, k: int, reps: int = 50, most: int = validity.PAIRWISE, seed: int = 42) -> DataFrame:
+    """(id, cluster): average linkage on one minus the consensus of resampled k-means, in one task.
+
+    It has to place everybody: with over ``most`` people it is not computed, and every cluster is null.
+    """
     spark = people.sparkSession
+    if people.limit(most + 1).count() > most:
+        return people.select("id", F.lit(None).cast("bigint").alias("cluster"))
     ids, x = working_set(people, most)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
-            together, both = np.zeros((len(x), len(x))), np.zeros((len(x), len(x)))
+            together, both = np.zeros((len(x), len(x)), np.uint16), np.zeros((len(x), len(x)), np.uint16)
             for lab, at in zip(f["labels"], f["rows"], strict=True):
                 lab, at = np.asarray(lab), np.asarray(at)
                 both[np.ix_(at, at)] += 1
                 together[np.ix_(at, at)] += lab[:, None] == lab[None, :]
-            share = np.divide(together, both, out=np.zeros_like(together), where=both > 0)
+            share = np.divide(together, both, out=np.zeros(both.shape, np.float32), where=both > 0)
             yield pd.DataFrame({"id": ids, "cluster": N.linkage_labels(1 - share, k, "average")})
 
     fits = grid(spark, [("consensus", k, r) for r in range(reps)], (x, seed, None), _fit_one, _GRID).select("labels", "rows")
@@ -261,3 +266,14 @@ def consensus_partition(people: DataFrame, k: int, reps: int = 20, most: int = 1
 def final_segments(people: DataFrame, k: int) -> DataFrame:
     """people with segment: nearest centre of the full k-means."""
     return assign(people, kmeans_full(people, k))
+
+
+def ward_agreement(people: DataFrame, segments: DataFrame, k: int, most: int = 3000) -> DataFrame:
+    """(ari, n_used): agreement of Ward's linkage of everybody with their segments (id, segment); null and 0 with over ``most`` people."""
+    spark, schema = people.sparkSession, "ari double, n_used int"
+    if people.limit(most + 1).count() > most:
+        return spark.createDataFrame([(None, 0)], schema)
+    ids, x = working_set(people, most)
+    own = {r["id"]: r["segment"] for r in segments.select("id", "segment").collect()}  # at most ``most`` rows
+    lab = N.linkage_labels(np.sqrt(N.sq_distances(x, x)), k, "ward")
+    return spark.createDataFrame([(float(N.ari(lab, np.array([own[i] for i in ids.tolist()]))), len(x))], schema)

@@ -66,16 +66,14 @@ def clusterboot_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def consensus_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.consensus_partition(G.people(spark, sf_dir), 3, reps=6, most=600)
+    return panel.consensus_partition(G.people(spark, sf_dir), 3)
 
 
 @query()
 def ward_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of Ward's linkage with k-means on at most 1500 people."""
-    _, x = panel.working_set(G.people(spark, sf_dir), 1500)
-    a = kernels.linkage_labels(np.sqrt(kernels.sq_distances(x, x)), 3, "ward")
-    b = kernels.kmeans(x, 3, np.random.default_rng(42), 10)[0]
-    return spark.createDataFrame([(kernels.ari(a, b), len(x))], "ari double, n_used int")
+    """Agreement of Ward's linkage with the final segments, of everybody; not computed for over 3,000 people."""
+    p = G.people(spark, sf_dir)
+    return panel.ward_agreement(p, panel.final_segments(p, 3), 3)
 
 
 @query()

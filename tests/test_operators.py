@@ -162,6 +162,18 @@ def test_hierarchical_utilities_follow_counts(spark):
     assert choice.split_rhat(draws.drop("chain")).first()["rhat"] < 1.5
 
 
+def test_partitions_are_of_everybody_or_not_computed(spark):
+    people, own, _ = planted(spark, n=1800)
+    got = {r["id"]: r["cluster"] for r in panel.consensus_partition(people, 3, reps=3).collect()}
+    assert len(got) == 1800 and None not in got.values()
+    few = panel.consensus_partition(people, 3, reps=3, most=1799).collect()
+    assert len(few) == 1800 and {r["cluster"] for r in few} == {None}
+    final = panel.final_segments(people, 3)
+    one = panel.ward_agreement(people, final, 3).first()
+    assert one["n_used"] == 1800 and one["ari"] > 0.9
+    assert panel.ward_agreement(people, final, 3, most=1799).first()["ari"] is None
+
+
 def test_hierarchical_utilities_are_of_everybody(spark):
     rows = [(p, s, f"i{(p + s + j) % 4}", ["best", "", "worst"][j]) for p in range(2100) for s in range(2) for j in range(3)]
     long = spark.createDataFrame(rows, "respondent_id bigint, set bigint, item string, choice string")
