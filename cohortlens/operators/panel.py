@@ -8,6 +8,7 @@ kind, k, replicate), so results don't depend on how tasks are spread.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,10 +97,16 @@ def _fit_one(shared: object, kind: str, k: int, rep: int) -> dict:
 _GRID = "a double, b double, c double, d double, e double, labels array<int>, rows array<int>"
 
 
-def diagnostics(people: DataFrame, ks: range = range(2, 7), gaps: int = 10, subsamples: int = 10, splits: int = 5, consensus: int = 15, seed: int = 42) -> DataFrame:
-    """One row for each k: all criteria of ``validity.signals`` and n_used."""
+def diagnostics(people: DataFrame, ks: range = range(2, 9), gaps: int = 20, subsamples: int = 30, splits: int = 10, consensus: int = 50, seed: int = 42) -> DataFrame:
+    """One row for each k: all criteria of ``validity.signals`` and n_used.
+
+    As in the reference, k ends at half of the people and at a quarter of the distinct answers, but not below the smallest asked for.
+    """
     spark = people.sparkSession
     _, x = working_set(people)
+    distinct = len(np.unique(x, axis=0))
+    feasible = max(2, min(len(x) // 2, distinct))
+    ks = [k for k in ks if k <= max(2, min(feasible, distinct // 4), min(min(ks), feasible))]
     base = grid(spark, [("base", k, 0) for k in [1, *ks] if k > 1], (x, seed, None), _fit_one, _GRID).collect()
     labels = {r["k"]: r["labels"] for r in base}  # k x WORKING numbers
     tasks = [(kind, k, r) for k in ks for kind, n in (("gap", gaps), ("stability", subsamples), ("strength", splits), ("consensus", consensus), ("mixture", 1)) for r in range(n)]
@@ -137,7 +144,7 @@ def _pac(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def bootstrap_jaccard(people: DataFrame, labels: dict, k: int, reps: int = 20, seed: int = 42) -> DataFrame:
+def bootstrap_jaccard(people: DataFrame, labels: dict, k: int, reps: int = 100, seed: int = 42) -> DataFrame:
     """(segment, jaccard): each segment's mean best match over bootstrap samples."""
     spark = people.sparkSession
     ids, x = working_set(people)
@@ -189,8 +196,8 @@ def _moments(means: np.ndarray, covs: np.ndarray, weights: np.ndarray):
     return run
 
 
-def gmm_full(people: DataFrame, k: int, steps: int = 15, reg: float = 1e-4, kind: str = "full") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(weights, means, covariances, log-likelihood) by EM over all people: each partition sends its sufficient statistics only."""
+def gmm_full(people: DataFrame, k: int, steps: int = 1000, reg: float = 1e-4, kind: str = "full") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(weights, means, covariances, log-likelihood) by EM over all people until it settles: each partition sends its sufficient statistics only."""
     ids, x = working_set(people, 2000)
     fit = N.mixture_ladder(x, k, 42, kind)
     p = x.shape[1]
@@ -212,11 +219,13 @@ def gmm_full(people: DataFrame, k: int, steps: int = 15, reg: float = 1e-4, kind
         if new - ll < 1e-6 * abs(new):
             break
         ll = new
+    else:
+        warnings.warn(f"_NOT_SETTLED: {steps} steps", stacklevel=2)
     return weights, means, covs, float(new)
 
 
-def lca_full(answers: DataFrame, k: int, steps: int = 20, seed: int = 42) -> tuple[DataFrame, float]:
-    """(posteriors: id, class, p, loglik; total log-likelihood) by EM over all answers (id, item, level), from a hash start.
+def lca_full(answers: DataFrame, k: int, steps: int = 1000, seed: int = 42) -> tuple[DataFrame, float]:
+    """(posteriors: id, class, p, loglik; total log-likelihood) by EM over all answers (id, item, level) until it settles, from a hash start.
 
     The shares, items x levels x classes of them, go through the driver each step, which also cuts the plan's lineage.
     """
@@ -233,6 +242,8 @@ def lca_full(answers: DataFrame, k: int, steps: int = 20, seed: int = 42) -> tup
         if ll - last < 1e-6 * abs(ll):
             break
         last = ll
+    else:
+        warnings.warn(f"_NOT_SETTLED: {steps} steps", stacklevel=2)
     return post, float(ll)
 
 

@@ -39,7 +39,7 @@ def _run(shared: object, kind: str, k: int, rep: int) -> dict:
     return {"n_people": n, "found_k": found, "ari": N.ari(scores[found][1], own), "surest": float(scores[found][0])}
 
 
-def sweep(spark: SparkSession, sizes: tuple[int, ...] = (50, 100, 200, 400), questions: int = 6, groups: int = 3, repeats: int = 5, seed: int = 42) -> DataFrame:
+def sweep(spark: SparkSession, sizes: tuple[int, ...] = (50, 75, 100, 150, 200, 300, 400), questions: int = 6, groups: int = 3, repeats: int = 5, seed: int = 42) -> DataFrame:
     """(regime, n_people, hit_rate, ari, runs): the share of simulated studies of each size that find the right number of groups."""
     tasks = [(r, groups, 1000 * i + j) for r in REGIMES for i in range(len(sizes)) for j in range(repeats)]
     runs = grid(spark, tasks, (sizes, questions, groups, seed), _run, "n_people int, found_k int, ari double, surest double")

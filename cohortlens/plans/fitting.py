@@ -20,17 +20,19 @@ def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gmm_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, means, _, _ = panel.gmm_full(G.people(spark, sf_dir), 3, steps=5)
+    w, means, _, _ = panel.gmm_full(G.people(spark, sf_dir), 3)
     return spark.createDataFrame([(j, float(w[j]), [float(v) for v in means[j]]) for j in range(3)], "component int, weight double, mean array<double>")
 
 
 @query()
 def kproto_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-prototypes over all customers: distances in columns, prototypes by aggregation, four rounds."""
+    """k-prototypes over all customers: distances in columns, prototypes by aggregation, until they stay."""
     e, spec = P._encoded(spark, sf_dir)
     cols = list(P.KINDS)
     protos = [r.asDict() for r in e.orderBy("id").limit(3).select(*cols).collect()]
-    for _ in range(4):
+    seen = []
+    while protos not in seen:
+        seen.append(protos)
         d = [gower.distance(spec, {c: F.col(c) for c in cols}, {c: F.lit(p[c]) for c in cols}) for p in protos]
         near = e.withColumn("cluster", F.array_min(F.array(*(F.struct(x.alias("d"), F.lit(i).alias("i")) for i, x in enumerate(d))))["i"])
         new = {r["cluster"]: r.asDict() for r in gower.update_prototypes(near, spec, "cluster").collect()}  # k rows
@@ -41,18 +43,18 @@ def kproto_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lca_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers, _ = I._lca(spark, sf_dir)
-    post, _ = panel.lca_full(answers, 2, steps=3)
+    post, _ = panel.lca_full(answers, 2)
     return post.groupBy("class").agg(F.avg("p").alias("weight"))
 
 
 @query()
 def panel_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.diagnostics(G.people(spark, sf_dir), range(2, 5), gaps=4, subsamples=4, splits=2, consensus=5)
+    return panel.diagnostics(G.people(spark, sf_dir))
 
 
 @query()
 def recommended_k_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = panel.diagnostics(G.people(spark, sf_dir), range(2, 5), gaps=3, subsamples=3, splits=2, consensus=4)
+    d = panel.diagnostics(G.people(spark, sf_dir))
     return validity.recommend_k(validity.signals(d))
 
 
@@ -61,7 +63,7 @@ def clusterboot_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = G.people(spark, sf_dir)
     ids, x = panel.working_set(p)
     lab = kernels.kmeans(x, 3, np.random.default_rng(42), 10)[0]
-    return panel.bootstrap_jaccard(p, dict(zip(ids.tolist(), lab.tolist(), strict=True)), 3, reps=8)
+    return panel.bootstrap_jaccard(p, dict(zip(ids.tolist(), lab.tolist(), strict=True)), 3)
 
 
 @query()
@@ -89,4 +91,4 @@ def pca_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def planner_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.sweep(spark, (50, 200), repeats=3)
+    return planner.sweep(spark)

@@ -124,7 +124,7 @@ def turf_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def turf_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, items, _ = _hits(spark, sf_dir)
-    return reach.holdout(hits, items, 3, splits=8)
+    return reach.holdout(hits, items, 3)
 
 
 @query(BW + ", i AS (SELECT DISTINCT item FROM bw) SELECT x.item AS a, y.item AS b, (SELECT count(*) FROM bw p JOIN bw q USING (respondent_id, set) WHERE p.item = x.item AND q.item = y.item) AS together FROM i x JOIN i y ON x.item < y.item")

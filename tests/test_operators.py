@@ -162,6 +162,40 @@ def test_hierarchical_utilities_follow_counts(spark):
     assert choice.split_rhat(draws.drop("chain")).first()["rhat"] < 1.5
 
 
+def test_panel_defaults_are_the_reference_s_counts(spark):
+    import inspect
+
+    from cohortlens.operators import planner
+
+    default = lambda f, *names: [inspect.signature(f).parameters[n].default for n in names]
+    assert default(panel.diagnostics, "ks", "gaps", "subsamples", "splits", "consensus") == [range(2, 9), 20, 30, 10, 50]
+    assert default(panel.bootstrap_jaccard, "reps") == [100] and default(reach.holdout, "splits") == [40]
+    assert default(planner.sweep, "sizes", "repeats") == [(50, 75, 100, 150, 200, 300, 400), 5]
+
+
+def test_registered_panels_use_the_defaults(spark, data, monkeypatch):
+    from cohortlens.operators import planner
+    from cohortlens.plans import catalog, fitting
+
+    for module, name, query in ((panel, "diagnostics", "panel_full"), (panel, "bootstrap_jaccard", "clusterboot_jaccard"), (reach, "holdout", "turf_holdout"), (planner, "sweep", "planner_sweep"), (panel, "gmm_full", "gmm_full"), (panel, "lca_full", "lca_full")):
+        given = {}
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, g=given, **b: g.update(b) or (_ for _ in ()).throw(KeyError))
+        with pytest.raises(KeyError):
+            catalog.QUERIES[query](spark, data)
+        monkeypatch.setattr(module, name, whole)
+        assert not given
+    assert {r["k"] for r in fitting.panel_full(spark, data).select("k").collect()} == {2, 3}  # 15 people
+
+
+def test_mixture_runs_until_it_settles(spark):
+    people, _, _ = planted(spark, n=150)
+    _, _, _, ll = panel.gmm_full(people, 3)
+    assert panel.gmm_full(people, 3, steps=60)[3] == pytest.approx(ll, rel=1e-5)
+    with pytest.warns(UserWarning, match="_NOT_SETTLED"):
+        panel.gmm_full(people, 3, steps=1)
+
+
 def test_partitions_are_of_everybody_or_not_computed(spark):
     people, own, _ = planted(spark, n=1800)
     got = {r["id"]: r["cluster"] for r in panel.consensus_partition(people, 3, reps=3).collect()}
