@@ -44,6 +44,11 @@ MARKS = {
     "related", "recommended", "trending", "pagination", "pager", "toolbar", "disclaimer",
 }
 HOLDERS = {"html", "body", "main", "article"}
+#: Class names that, standing alone, say that an element holds the article.
+CONTENT = {"content", "article", "post", "entry", "main", "story"}
+#: Open elements that a start tag ends, where no other block lies between.
+IMPLIED = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for name in RAW}
 
 
 def _outside(name: str, attrs: str, in_article: bool) -> bool:
@@ -59,10 +64,12 @@ def _outside(name: str, attrs: str, in_article: bool) -> bool:
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
         if key in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & {"has", "with", "no"}:  # such as has-sidebar, on what holds the article too
-                continue
-            if words & MARKS or ("header" in words and not in_article):
+            alone, marked = set(value.split()), False
+            for one in alone:
+                words = set(_WORD.findall(one))
+                if not words & {"has", "with", "no"}:  # such as has-sidebar, on what holds the article too
+                    marked = marked or bool(words & MARKS) or ("header" in words and not in_article)
+            if marked and not (alone & CONTENT and not alone & MARKS):
                 return True
     return False
 
@@ -79,9 +86,9 @@ class Token:
 def tokens(page: str) -> list[Token]:
     """Tags and texts in order.  ``box`` numbers the container around a token's text block; ``block`` is where a block begins or ends."""
     found: list[Token] = []
-    stack: list[tuple[str, bool, int]] = []  # name, whether outside, box
+    stack: list[tuple[str, bool, int, int]] = []  # name, whether outside, box, place of the innermost block
+    opened: Counter[str] = Counter()
     links, articles, boxes, at, size = 0, 0, 0, 0, len(page)
-    low: str | None = None
 
     def text(piece: str) -> None:
         n = len(piece.split())
@@ -92,7 +99,8 @@ def tokens(page: str) -> list[Token]:
     def close(to: int) -> None:
         nonlocal links, articles
         while len(stack) > to:
-            name, _, _ = stack.pop()
+            name = stack.pop()[0]
+            opened[name] -= 1
             links -= name == "a"
             articles -= name == "article"
 
@@ -108,22 +116,18 @@ def tokens(page: str) -> list[Token]:
         ends = bool(m[1] or m[4])
         block = name in BLOCK
         if ends:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
-                if stack[i][0] == name:
-                    out, box = stack[i][1], stack[i][2]
-                    close(i)
-                    found.append(Token("/" + name if block or name == "a" else "/inline", 1, out, block, box, None))
-                    break
+            if opened[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                out, box = stack[i][1], stack[i][2]
+                close(i)
+                found.append(Token("/" + name if block or name == "a" else "/inline", 1, out, block, box, None))
             continue
         attrs = m[3] or m[6] or ""
-        if name in ENDS_P or name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            for i in range(len(stack) - 1, max(-1, len(stack) - 16), -1):
-                if stack[i][0] == name or (stack[i][0] == "p" and name in ENDS_P):
-                    if stack[i][0] == "p" or name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                        close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        ended = IMPLIED.get(name, {"p"} if name in ENDS_P else ())
+        while ended and stack and stack[-1][3] >= 0 and stack[stack[-1][3]][0] in ended:
+            close(stack[-1][3])
         parent = stack[-1] if stack else ("", False, 0)
         out = parent[1] or _outside(name, attrs, articles > 0)
         box = parent[2]
@@ -131,13 +135,15 @@ def tokens(page: str) -> list[Token]:
             boxes += 1
             box = boxes
         found.append(Token(name if block or name in ("a", "br") else "inline", 1, out, block, box, None))
+        inner = len(stack) if block else stack[-1][3] if stack else -1
         if name in RAW:
-            low = page.lower() if low is None else low
-            end = low.find("</" + name, at) if len(low) == size else page.find("</" + name, at)
-            at = size if end < 0 else end
-            stack.append((name, True, box))
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else size
+            stack.append((name, True, box, inner))
+            opened[name] += 1
         elif name not in VOID and not attrs.endswith("/"):
-            stack.append((name, out, box))
+            stack.append((name, out, box, inner))
+            opened[name] += 1
             links += name == "a"
             articles += name == "article"
     if at < size:
@@ -200,7 +206,7 @@ def _grown(found: list[Token], begin: int, end: int) -> tuple[int, int]:
 
 
 def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
-    """The page's main text: character references decoded, white space inside a block one space, blocks joined by line feeds."""
+    """The page's main text: character references decoded, white space inside a block one space, blocks joined by two line feeds."""
     found = tokens(page or "")
     begin, end = best_region(found, weights)
     if begin == end:
@@ -216,7 +222,7 @@ def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
         elif not t.out:
             blocks[-1].append(t.text)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks if b)
-    return "\n".join(x for x in lines if x)
+    return "\n\n".join(x for x in lines if x)
 
 
 def _extract(weights: dict[str, float]):

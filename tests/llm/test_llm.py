@@ -133,17 +133,33 @@ def test_labelled_pages_come_back():
     ("page", "text"),
     [
         (None, ""), ("", ""), ("no tags at all", "no tags at all"), ("<nav><a>Home</a></nav>", ""),
-        ("<p>a&amp;b &lt;c&gt;<br>next</p><p> two\n lines </p>", "a&b <c> next\ntwo lines"),
-        ("<article><p>one</p><aside>x</aside><p>two</p></article><div class='comments'><p>spam spam spam</p></div>", "one\ntwo"),
+        ("<p>a&amp;b &lt;c&gt;<br>next</p><p> two\n lines </p>", "a&b <c> next\n\ntwo lines"),
+        ("<article><p>one</p><aside>x</aside><p>two</p></article><div class='comments'><p>spam spam spam</p></div>", "one\n\ntwo"),
         ("<script>var t='</p>';</script><p>kept words here</p><style>p{}</style>", "kept words here"),
-        ("<p>broken <b>bold <p>next para", "broken bold\nnext para"),
-        ("<div class=cookie-notice>We use cookies</div><main><h1>T</h1><p>body of text</p></main>", "T\nbody of text"),
+        ("<p>broken <b>bold <p>next para", "broken bold\n\nnext para"),
+        ("<nav>" + "<div>" * 5 + "<ul>" + "<b>" * 70 + "</ul></nav><p>the article body text</p>", "the article body text"),
+        ("<nav><dl>" + "<dt>a<dd>b" * 80 + "</dl></nav><p>the article body text</p>", "the article body text"),
+        ("<SCRIPT>var a=1;</SCRIPT><p>hello world body</p>\u0130", "hello world body\n\n\u0130"),
+        ("<div class='content reply-box'><p>the article body text</p></div>", "the article body text"),
+        ("<p>the article body text</p><div class='no-print nav'>Home News Sport</div>", "the article body text"),
+        ("<table><tr><td>one<td>two<tr><td>three</table>", "one\n\ntwo\n\nthree"),
+        ("<div class=cookie-notice>We use cookies</div><main><h1>T</h1><p>body of text</p></main>", "T\n\nbody of text"),
     ],
 )
 def test_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_extract_gives_each_row_its_own_text(spark):
+    rows = [(1, "u", "<p>one two</p>"), (1, "u", "<p>one two</p>"), (2, None, None), (3, "v", ""), (None, "w", "<p>caf&eacute; " + "long " * 50000 + "</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(1)})
+    got = html_extract.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = [(1, "u", "one two", 7)] * 2 + [(2, None, "", 0), (3, "v", "", 0), (None, "w", ("café " + "long " * 50000).strip(), 250004)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
 def test_best_region_is_the_best():
     rng = random.Random(1)
     for _ in range(50):
