@@ -13,6 +13,7 @@ returns a spanning forest of them.  A pair that meets in several long buckets co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from . import kernels as K
 from .common import Workspace, components
 
 BLOCK = 256
+#: Tables by polytopes in a code, relative to two: a code of more agrees less often.
+MORE_TABLES = {2: 1.0, 3: 1.5, 4: 2.0, 5: 2.7, 6: 3.7}
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -130,7 +133,8 @@ def embedding_duplicates(
     or holds null or non-finite components, and a null vec_id link with nothing; vectors of different lengths never link.
     Rows that repeat a vec_id with an equal vector are copies that link with each other.  Other columns are ignored.
 
-    The number of polytopes in a code follows the largest label's size, so that a bucket of unrelated vectors holds a few of them.
+    The number of polytopes in a code follows the largest label's size, so that a bucket of unrelated vectors holds a few of them;
+    the number of tables grows with it, so that a pair's chance to meet in one stays.  ``tables`` is that of two polytopes.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "embedding")
@@ -154,6 +158,7 @@ def embedding_duplicates(
     polytopes = 2
     while n * (2 * per_polytope) ** polytopes > 4 * most and polytopes < 6:
         polytopes += 1
+    tables = math.ceil(tables * MORE_TABLES[polytopes])
     coded = reps.select("rep", "group", "unit").mapInArrow(_hash(tables, polytopes, seed), "rep bigint, codes array<bigint>")
     flat = ws.keep(coded.select("rep", F.explode(F.array_distinct("codes")).alias("code")), "codes")
     sizes = ws.keep(flat.groupBy("code").count().filter("count > 1"), "sizes")
