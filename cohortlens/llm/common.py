@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
         at = sc._jsc.sc().getCheckpointDir().get()
@@ -46,6 +48,18 @@ class Workspace:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(ws: Workspace, texts: DataFrame) -> DataFrame | None:
+    """A number for each different (doc_id, text) of texts, in order of doc_id, where a doc_id has several texts; else None.
+
+    Columns: doc_id, of (a hash of the text) and node.  Null ids get none.
+    """
+    rows = texts.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("of"))
+    several = rows.groupBy("doc_id").agg((F.min("of") < F.max("of")).alias("several")).filter("several")
+    if several.isEmpty():
+        return None
+    return ws.keep(rows.distinct().orderBy("doc_id", "of").withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

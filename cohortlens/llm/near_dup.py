@@ -11,7 +11,7 @@ different sets of at least the asked similarity share no posted value with proba
 
 A list of over ``most`` documents is not expanded into its pairs.  Near copies in great number are joined through
 leaders, one comparison for each copy, and lists of other documents are cut by further shared values; see ``_hot_pairs``.
-The components are the same as if all pairs had been compared.
+The components are those of all pairs, but for links that an estimate more than 3.5 standard errors too low would hide.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Workspace, components
+from .common import Workspace, components, numbered
 
 SKETCH = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, sketch array<bigint>"
 
@@ -92,11 +92,27 @@ def near_duplicates(
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), one row
     for each row of docs.  A text that is null or without words has no shingles and stands alone.  Rows
-    that repeat a doc_id are one node.  A null doc_id is never linked and is kept.  Other columns are ignored.
+    that repeat a doc_id are one node, with the links of all its texts.  A null doc_id is never linked and is kept.  Other columns are ignored.
     """
-    num, den = threshold
     ws = Workspace(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nodes = numbered(ws, texts)
+    if nodes is None:
+        return _near(ws, texts, None, width, threshold, k, posted, most)
+    # Each text of its own is a node, and those of one doc_id are joined.
+    rows = texts.withColumn("of", F.xxhash64("text")).join(nodes, ["doc_id", "of"], "left").select(F.col("node").alias("doc_id"), "text")
+    same = nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+    done = _near(ws, rows, same, width, threshold, k, posted, most).select(F.col("doc_id").alias("node"), "n_shingles", "component_id")
+    ids = nodes.select("doc_id", "node")
+    named = done.join(ids, "node", "left").join(ids.select(F.col("doc_id").alias("root"), F.col("node").alias("component_id")), "component_id", "left")
+    named = ws.keep(named.select("doc_id", "n_shingles", "root"), "named")
+    out = named.drop("root").join(named.groupBy("doc_id").agg(F.min("root").alias("component_id")), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _near(ws: Workspace, texts: DataFrame, same: DataFrame | None, width: int, threshold: tuple[int, int], k: int, posted: int, most: int) -> DataFrame:
+    """``near_duplicates`` of texts in which a doc_id has one text; ``same`` are further links (a, b)."""
+    num, den = threshold
     every = ws.keep(texts.mapInArrow(_sketches(width, k), SKETCH), "sketches")
 
     # Classes of equal sets; the class's smallest doc_id stands for it.
@@ -158,6 +174,7 @@ def near_duplicates(
     hot = listed.filter(F.col("size") > most).select("v", "rep", "n", "at")
     if hot.isEmpty():
         links = ws.keep(measured(candidates, full_sets(candidates, "sets")), "links")
+        ws.drop("sizes", "listed", "cold-once", "cold", "sets-ids", "sets")
     else:
         # A list's leader is its document with most values in long lists, as the least edited copy has.
         many = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("many"), F.slice(F.array_sort(F.collect_list(F.struct("at", "v"))), 1, 4).alias("few"))
@@ -168,11 +185,18 @@ def near_duplicates(
         sets = full_sets(candidates.union(led), "sets")
         seen = ws.keep(distances(led, sets), "seen")
         links = ws.keep(measured(candidates, sets).union(seen.filter("linked").select("a", "b")).distinct(), "links")
+        ws.drop("sizes", "cold-once", "cold", "few", "lead", "led", "sets-ids", "sets")
         more = ws.keep(_hot_pairs(ws, hot, posts.select("rep", "vals"), links, seen, all_pairs, plausible, once, full_sets, distances, num / den, most), "more")
+        ws.drop("listed", "seen", "leaders", "rest", "so-far", "near-leaders", "groups", "groups-once", "rivals", "near-sets-ids", "near-sets", "near-far", "rivals-far")
+        ws.drop(*(f"{name}{level}" for name in ("sizes", "lists", "once", "cut") for level in (1, 2, 3)))
         links = links.union(ws.keep(measured(more, full_sets(more, "more-sets")), "more-links"))
 
+    if same is not None:
+        theirs = every.join(same.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").join(classes, key)
+        links = links.union(same).union(theirs.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = components(ws, links)
     roots = ws.keep(roots, "roots")
+    ws.drop("reps", "links", "more", "more-sets-ids", "more-sets", "more-links")
     # Only classes of several documents or with a link need a lookup.
     moved = classes.select(*key, "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or component is not null").select(*key, F.coalesce("component", "rep").alias("component"))
     moved = ws.keep(moved, "moved")
