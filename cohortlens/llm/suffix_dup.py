@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Workspace
+from .common import Workspace, numbered
 
 #: A region: anchor, hash of its bytes, document, first window's start, number of windows, whether its anchor occurs in it twice.
 REGION = np.dtype([("anchor", "<u8"), ("bytes", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("again", "<i4")])
@@ -181,6 +181,8 @@ def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- stages --------------------------------------------------------------------------------------
 
+#: Most tasks of a shuffle; with more parts or shards than that, a task goes through several in turn.
+TASKS = 20_000
 _BLOB = "part int, kind int, rows binary"
 _FOUND = "kind int, anchor bigint, doc bigint, start int, n int"
 
@@ -394,16 +396,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_byt
 
     Returns doc_id, n_bytes, spans (removed byte ranges, disjoint and in order, end exclusive) and kept (the other bytes), one row for
     each row of docs.  A null text has no bytes.  Rows without a doc_id stand after all others, in order of a hash of their texts.
-    Rows that repeat a doc_id and a text are one document; a doc_id should not have two texts.  Other columns are ignored.
+    Rows that repeat a doc_id and a text are one document; several texts of a doc_id are documents in order of a hash.  Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "suffix")
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
-    texts = docs.select(key.alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nodes, place = numbered(ws, texts), F.col("doc_id")
+    if nodes is not None:
+        texts, place = texts.withColumn("of", F.xxhash64("text")).join(nodes, ["doc_id", "of"], "left"), F.col("node")
+    key = F.coalesce(place, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+    texts = texts.select(key.alias("doc"), "doc_id", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, total // (4 << 20))
+    tasks = min(TASKS, parts)
 
     cut = texts.select("doc", "text").filter(F.octet_length("text") >= length).mapInArrow(_cut(length, gram, parts), _BLOB)
-    found = ws.keep(cut.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_settle, _FOUND), "found")
+    found = ws.keep(cut.repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_settle, _FOUND), "found")
     spans = found.filter("kind = 1").select("doc", "start", "n")
 
     open_ = found.filter("kind = 0").select("anchor", "doc", "start", "n")
@@ -411,16 +418,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_byt
     size = open_.agg(F.sum(F.col("n") + length - 1)).first()[0]
     if size:
         shards = max(8, size // shard_bytes)
-        place = F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce("count", F.lit(1)) / most).cast("bigint"))
-        dealt = open_.join(hot, "anchor", "left").select("doc", F.struct(F.pmod(F.xxhash64("anchor", place), F.lit(shards)).alias("shard"), F.col("count").isNotNull().alias("spread"), "start", "n").alias("w"))
+        split = F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce("count", F.lit(1)) / most).cast("bigint"))
+        dealt = open_.join(hot, "anchor", "left").select("doc", F.struct(F.pmod(F.xxhash64("anchor", split), F.lit(shards)).alias("shard"), F.col("count").isNotNull().alias("spread"), "start", "n").alias("w"))
         wanted = ws.keep(dealt.groupBy("doc").agg(F.collect_list("w").alias("wanted")), "wanted")
         rows = texts.select("doc", F.col("text").cast("binary").alias("text")).join(wanted, "doc").mapInArrow(_fetch(length), _SHARD)
-        solved = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length, parts), _BLOB)
+        solved = rows.repartition(min(TASKS, shards), "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length, parts), _BLOB)
         solved = ws.keep(solved, "solved")
         again = solved.filter("kind = 1").mapInArrow(lambda b: (_found(1, np.concatenate(x)) for _, x in _by_part(b, REGION)), _FOUND)
         spans = spans.union(again.select("doc", "start", "n"))
         if not hot.isEmpty():
-            merged = solved.filter("kind = 2").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, _FOUND)
+            merged = solved.filter("kind = 2").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_merge, _FOUND)
             spans = spans.union(merged.select("doc", "start", "n"))
     removed = ws.keep(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("removed")), "removed")
     return texts.join(removed, "doc", "left").select("doc_id", "text", "removed").mapInArrow(_remove(length), "doc_id bigint, n_bytes bigint, spans array<struct<begin:int,end:int>>, kept binary")
