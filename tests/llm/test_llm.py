@@ -243,6 +243,13 @@ def test_near_duplicate_edges(spark, odd):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_several_texts_of_a_doc_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(3, a), (5, a + " x"), (5, b), (7, b), (7, b), (9, "other words entirely"), (9, None), (None, a)], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df, width=2).collect()), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (9, 9, True), (9, 9, True), (None, None, True)], key=str)
+
+
 # --- 4 --------------------------------------------------------------------------------------------
 
 
@@ -302,6 +309,13 @@ def test_repeat_edges(spark, odd):
     assert suffix_dup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_several_texts_of_a_doc_id_are_several_documents(spark):
+    long = "".join(f"{i:03d} " for i in range(200))
+    df = spark.createDataFrame([(1, long), (1, "short"), (2, long[:300]), (2, "x" * 20), (2**62 + 5, long[200:500]), (None, long[:200])], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_bytes"]): sum(x["end"] - x["begin"] for x in r["spans"]) for r in suffix_dup.remove_repeats(df).collect()}
+    assert got == {(1, 800): 0, (1, 5): 0, (2, 300): 300, (2, 20): 0, (2**62 + 5, 300): 300, (None, 200): 200}
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 
@@ -418,6 +432,16 @@ def test_classifier_edges(spark, odd):
     assert linear.above(odd, none.weights, none.offset, linear.word_and_shape, 0.3).columns == odd.columns
 
 
+def test_toxicity_takes_ids_of_any_size(spark):
+    rows = [(2**62 + i, f"the women met the old {'fools' if i % 2 else 'friends'} number {i % 7}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    texts, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    got = toxicity.toxicity_scores(texts, toxicity.train(texts, labels)).join(labels, "doc_id").groupBy("toxic").agg(F.avg("score").alias("s")).collect()
+    by = {r["toxic"]: r["s"] for r in got}
+    assert by[1] > by[0]
+    assert toxicity.train(texts, labels.limit(0))[1] == 0.0
+
+
 # --- 9 --------------------------------------------------------------------------------------------
 
 
@@ -440,6 +464,20 @@ def test_mix_edges(spark, odd):
     assert mixing.mix(odd.filter("doc_id <= 3")).filter("target > 0").count() == 0
 
 
+@pytest.mark.parametrize("polytopes", [2, 3, 4, 5, 6])
+def test_recall_of_codes_does_not_fall_with_polytopes(polytopes):
+    rng = np.random.default_rng(polytopes)
+    x = rng.normal(size=(400, 384))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + (1 - 0.93**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables = int(np.ceil(6 * embedding_dup.MORE_TABLES[polytopes]))
+    a, b = embedding_dup.codes(x, tables, polytopes, 11), embedding_dup.codes(y, tables, polytopes, 11)
+    met = np.mean([len(np.intersect1d(u, v)) > 0 for u, v in zip(a, b, strict=True)])
+    assert met >= 0.985
+
+
 # --- 10 -------------------------------------------------------------------------------------------
 
 
