@@ -36,5 +36,5 @@ DEMOGRAPHIC = [
 ]
 DEMOGRAPHIC_PHRASES = ["study year", "year of study", "class year", "study programme", "study program"]
 WEIGHT = ["weight", "weights", "weighting", "vikt", "designweight", "poststrat"]
-ID_HINTS = ["id", "email", "e-mail", "respondent", "uuid"]
+ID_HINTS = ["id", "respondent", "email", "e-mail", "user", "name", "uuid", "participant", "svarsnummer", "deltagare"]
 STOP = ["what", "is", "your", "the", "a", "an", "of", "are", "you", "in", "do", "which", "please", "state"]
