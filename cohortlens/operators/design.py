@@ -56,7 +56,7 @@ def make_design(spark: SparkSession, items: list[str], per_set: int, sets: int,
     """
     if per_set < 2:
         raise ValueError("_DESIGN_SET_TOO_SMALL")
-    if len(items) < per_set:
+    if len(items) <= per_set:
         raise ValueError("_DESIGN_TOO_FEW_ITEMS")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -14,13 +14,16 @@ REGIMES = {"obvious": 2.0, "moderate": 1.0, "subtle": 0.6}
 
 
 def simulate(n: int, questions: int, groups: int, effect: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(answers 1 to 5, groups): each group leans up on its own third of the questions and down on the next; refuses an effect off the scale."""
+    """(answers 1 to 5, groups): each group leans up on its own third of the questions and down on the next; refuses an effect off the scale.
+
+    The lean is such that neighbouring groups' means are ``effect`` times the spread apart, on average over questions.
+    """
     spread = 0.8
-    lean = effect * spread / 2
-    if 3 + lean > 5 or 3 - lean < 1:
-        raise ValueError("_PLAN_TOO_TIGHT")
     own = np.arange(n) % groups
     shape = np.array([[1.0 if (q + g) % groups == 0 else -1.0 if (q + g) % groups == 1 else 0.0 for q in range(questions)] for g in range(groups)])
+    lean = effect * spread / np.abs(np.diff(shape, axis=0)).mean() if groups > 1 else 0.0
+    if 3 + lean > 5:
+        raise ValueError("_PLAN_TOO_TIGHT")
     x = 3 + lean * shape[own] + spread * rng.standard_normal((n, questions))
     return np.clip(np.rint(x), 1, 5), own
 

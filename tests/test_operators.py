@@ -249,3 +249,21 @@ def test_lloyd_never_raises_the_objective(spark):
     c = segments.first_centres(people, 3)
     cost = [segments.assign(people, segments.lloyd(people, c, s)).agg(F.sum("d2")).first()[0] for s in (0, 1, 3)]
     assert cost[0] >= cost[1] >= cost[2]
+
+
+@pytest.mark.parametrize(("questions", "groups"), [(6, 2), (6, 3), (8, 4)])
+def test_simulated_groups_are_as_far_apart_as_asked(questions, groups):
+    from cohortlens.operators import planner
+
+    x, own = planner.simulate(60000, questions, groups, 1.0, np.random.default_rng(3))
+    means = np.array([x[own == g].mean(axis=0) for g in range(groups)])
+    assert np.abs(np.diff(means, axis=0)).mean() / 0.8 == pytest.approx(1.0, rel=0.05)
+    with pytest.raises(ValueError, match="_PLAN_TOO_TIGHT"):
+        planner.simulate(10, questions, groups, 9.0, np.random.default_rng(3))
+
+
+def test_a_screen_must_leave_items_out(spark):
+    from cohortlens.operators import design
+
+    with pytest.raises(ValueError, match="_DESIGN_TOO_FEW_ITEMS"):
+        design.make_design(spark, ["a", "b", "c"], 3, 2, 4)
