@@ -193,7 +193,7 @@ def brute_near(texts: dict[int, str | None], width: int) -> dict[int, int]:
     return {i: find(i) for i in texts}
 
 
-def test_near_duplicates_with_long_lists(spark):
+def test_near_duplicates_with_long_lists(spark, monkeypatch):
     """Groups of near copies larger than a list may be, loose ones among them, and unrelated texts with the same frequent pairs."""
     rng = random.Random(7)
     words = [f"w{i}" for i in range(400)]
@@ -213,11 +213,20 @@ def test_near_duplicates_with_long_lists(spark):
     texts |= {len(texts): None, len(texts) + 1: "", len(texts) + 2: "one", len(texts) + 3: "ONE", len(texts) + 4: "one two"}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     want = brute_near(texts, 2)
-    for most in (8, 48):
+    for most, block in ((8, 256), (8, 16), (48, 256)):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
         got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, width=2, most=most).collect()}
         assert got == want
 
 
+def test_overlaps_of_blocks():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-50, 50, n)) for n in (0, 1, 5, 60, 200)]
+    got = near_dup._overlaps(sets, sets[::-1], columns=7)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]
+    assert near_dup._overlaps(sets[:1], sets[:1]).tolist() == [[0]]
+
+
 @pytest.mark.parametrize("seed", [1267, 4305])
 def test_near_duplicates_of_two_groups_joined_by_followers(spark, seed):
     """Two groups of near copies, leaders at about 0.53 with an estimate of under 0.4; only a follower of each link."""
