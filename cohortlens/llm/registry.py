@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dup, exact_dup, html_extract, langid, merkle, mixing, near_dup, quality, suffix_dup, token_shards, toxicity
+from . import decontaminate, divergence, embedding_dup, exact_dup, html_extract, langid, merkle, mixing, near_dup, quality, suffix_dup, token_shards, toxicity
 
 QUERIES = {
     "op1_ppm_language_id": langid.op1_ppm_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_nbsvm_quality": quality.op8_nbsvm_quality,
     "op9_fair_queue_mixing": mixing.op9_fair_queue_mixing,
     "op10_cross_polytope_dedup": embedding_dup.op10_cross_polytope_dedup,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_cuckoo_exact_dedup": exact_dup.op13_cuckoo_exact_dedup,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op6_wu_manber_decontamination": decontaminate.OP6_SQL,
     "op9_fair_queue_mixing": mixing.OP9_SQL,
     "op10_cross_polytope_dedup": embedding_dup.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
     "op13_cuckoo_exact_dedup": exact_dup.OP13_SQL,
 }
