@@ -46,7 +46,7 @@ class CuckooIndex:
         self.mask = buckets - 1
         self.prints = array("H", bytes(2 * self.SLOTS * buckets))
         self.entries = array("q", bytes(8 * self.SLOTS * buckets))
-        self.rest: list[int] = []  # entries whose two buckets are full of their own digest; no size would hold them
+        self.rest: dict[bytes, list[int]] = {}  # entries that find no slot though most are free: no size would hold them
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(digest[:2], "little") or 1
@@ -63,7 +63,7 @@ class CuckooIndex:
             for s in range(b * self.SLOTS, (b + 1) * self.SLOTS):
                 if self.prints[s] == mark and self.digests[e := self.entries[s]] == digest and self.texts[e] == text:
                     return e
-        return next((e for e in self.rest if self.digests[e] == digest and self.texts[e] == text), -1)
+        return next((e for e in self.rest.get(digest, ()) if self.texts[e] == text), -1)
 
     def insert(self, digest: bytes, text: bytes) -> int:
         """A new entry for a text that find() does not know."""
@@ -75,7 +75,7 @@ class CuckooIndex:
             self.digests.append(digest)
             self.texts.append(text)
         self.bytes += len(text)
-        if not self._place(digest, e):
+        if not self._settled(e):
             self._resize()
         return e
 
@@ -86,7 +86,7 @@ class CuckooIndex:
         mark, *buckets = self._places(digest)
         slot = next((s for b in buckets for s in range(b * self.SLOTS, (b + 1) * self.SLOTS) if self.prints[s] == mark and self.entries[s] == e), None)
         if slot is None:
-            self.rest.remove(e)
+            self.rest[digest].remove(e)
         else:
             self.prints[slot] = 0
         self.digests[e] = self.texts[e] = None
@@ -104,29 +104,34 @@ class CuckooIndex:
                 return True
         return False
 
-    def _place(self, digest: bytes, e: int) -> bool:
-        mark, first, other = self._places(digest)
-        if self._put(first, mark, e) or self._put(other, mark, e):
-            return True
-        if all(self.digests[self.entries[s]] == digest for b in (first, other) for s in range(b * self.SLOTS, (b + 1) * self.SLOTS)):
-            self.rest.append(e)
-            return True
-        bucket = other
+    def _place(self, e: int) -> int:
+        """Finds a slot for an entry by moving others; the entry that is without one in the end, or -1."""
+        mark, first, bucket = self._places(self.digests[e])
+        if self._put(first, mark, e) or self._put(bucket, mark, e):
+            return -1
         for i in range(self.MOVES):
             s = bucket * self.SLOTS + (i * 7 + mark) % self.SLOTS  # another slot each time
             moved, self.prints[s] = self.prints[s], mark
             e, self.entries[s] = self.entries[s], e
             mark, bucket = moved, self._other(bucket, moved)
             if self._put(bucket, mark, e):
-                return True
-        return False
+                return -1
+        return e
+
+    def _settled(self, e: int) -> bool:
+        if (left := self._place(e)) < 0:
+            return True
+        if 8 * (len(self.digests) - len(self.free)) >= len(self.prints):
+            return False
+        self.rest.setdefault(self.digests[left], []).append(left)
+        return True
 
     def _resize(self) -> None:
         done = False
         while not done:
             self.resizes += 1
             self._empty(2 * (self.mask + 1))
-            done = all(self._place(self.digests[e], e) for e in self.live())
+            done = all(map(self._settled, self.live()))
 
 
 def _digest(width: int):

@@ -20,8 +20,7 @@ from pyspark.sql.window import Window
 from .common import Workspace, fold
 
 WIDTH = 16
-TIER = 3
-BLOCK = WIDTH**TIER
+TIER = 3  # levels of a block
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,9 +54,9 @@ class Treehash:
         return self.done
 
 
-def depth(n: int) -> int:
+def depth(n: int, tier: int = TIER) -> int:
     """Levels that a block of a tree with n nodes on this tier has: a whole tier's, or as many as leave one node."""
-    return TIER if n > BLOCK else next(h for h in range(TIER + 1) if WIDTH**h >= n)
+    return next((h for h in range(tier) if WIDTH**h >= n), tier)
 
 
 def top_node(leaves: Sequence[str], height: int) -> str:
@@ -125,63 +124,76 @@ def _ranked(ws: Workspace, rows: DataFrame, order: list[str], name: str) -> Data
 _NODES = "tree string, rank bigint, n bigint, node string"
 
 
-def _up(table: pa.Table) -> pa.Table:
-    table = table.sort_by("rank")
-    n, block = table["n"][0].as_py(), table["rank"][0].as_py() // BLOCK
-    node = top_node(table["node"].to_pylist(), depth(n))
-    return pa.table({"tree": table["tree"][:1], "rank": [block], "n": [-(-n // BLOCK)], "node": [node]})
+def _up(tier: int):
+    def run(nodes: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("rank")
+        n, size = nodes["n"][0].as_py(), WIDTH**tier
+        node = top_node(nodes["node"].to_pylist(), depth(n, tier))
+        return pa.table({"tree": nodes["tree"][:1], "rank": [nodes["rank"][0].as_py() // size], "n": [-(-n // size)], "node": [node]})
+
+    return run
 
 
 _PATHS = "tree string, rank bigint, subroot string, root string, path array<string>"
 
 
-def _down(nodes: pa.Table, above: pa.Table) -> pa.Table:
+def _repeated(v: str, n: int) -> pa.Array:
+    return pa.array([v] * n, pa.string())
+
+
+def _down(tier: int):
     """Paths of a block's nodes, from the path of the block's own node."""
-    nodes = nodes.sort_by("rank")
-    (up,) = above.to_pylist()
-    n = nodes.num_rows
-    own = [p + up["path"] for p in paths(nodes["node"].to_pylist(), depth(nodes["n"][0].as_py()))]
-    repeat = lambda v: pa.array([v] * n, pa.string())
-    return pa.table({"tree": nodes["tree"], "rank": nodes["rank"], "subroot": repeat(up["subroot"]), "root": repeat(up["root"]), "path": pa.array(own, pa.list_(pa.string()))})
+
+    def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("rank")
+        (up,) = above.to_pylist()
+        n = nodes.num_rows
+        own = [p + up["path"] for p in paths(nodes["node"].to_pylist(), depth(nodes["n"][0].as_py(), tier))]
+        return pa.table({"tree": nodes["tree"], "rank": nodes["rank"], "subroot": _repeated(up["subroot"], n), "root": _repeated(up["root"], n), "path": pa.array(own, pa.list_(pa.string()))})
+
+    return run
 
 
 _PROOFS = "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
 
 
-def _prove(nodes: pa.Table, above: pa.Table) -> pa.Table:
-    nodes = nodes.sort_by("rank")
-    (up,) = above.to_pylist()
-    leaves, now = nodes["node"].to_pylist(), nodes["now"].to_pylist()
-    proofs, roots = [], []
-    for leaf, path in zip(now, paths(leaves, depth(nodes["n"][0].as_py())), strict=True):
-        path += up["path"]
-        proofs.append(joined(*path))
-        roots.append(folded(leaf, path))
-    repeat = lambda v: pa.array([v] * len(leaves), pa.string())
-    return pa.table({"doc_id": nodes["doc_id"], "leaf": leaves, "subroot": repeat(up["subroot"]), "root": repeat(up["root"]), "proof_sha256": proofs, "folded_root": roots})
+def _prove(tier: int):
+    def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("rank")
+        (up,) = above.to_pylist()
+        leaves, now = nodes["node"].to_pylist(), nodes["now"].to_pylist()
+        proofs, roots = [], []
+        for leaf, path in zip(now, paths(leaves, depth(nodes["n"][0].as_py(), tier)), strict=True):
+            path += up["path"]
+            proofs.append(joined(*path))
+            roots.append(folded(leaf, path))
+        n = len(leaves)
+        return pa.table({"doc_id": nodes["doc_id"], "leaf": leaves, "subroot": _repeated(up["subroot"], n), "root": _repeated(up["root"], n), "proof_sha256": proofs, "folded_root": roots})
+
+    return run
 
 
-def _block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("bigint"))
+def _block(nodes: DataFrame, tier: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("rank", 4 * tier))
 
 
-def _tiers(ws: Workspace, nodes: DataFrame, name: str) -> list[DataFrame]:
+def _tiers(ws: Workspace, nodes: DataFrame, name: str, tier: int) -> list[DataFrame]:
     """nodes and the tiers above it; each tree of the last has one node."""
     tiers = [nodes]
     most = nodes.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
     while most > 1:
-        up = _block(tiers[-1].select("tree", "rank", "n", "node")).groupBy("tree", "block").applyInArrow(_up, _NODES)
+        up = _block(tiers[-1].select("tree", "rank", "n", "node"), tier).groupBy("tree", "block").applyInArrow(_up(tier), _NODES)
         tiers.append(ws.keep(up, f"{name}-{len(tiers)}"))
-        most = -(-most // BLOCK)
+        most = -(-most // WIDTH**tier)
     return tiers
 
 
-def _to_lower_tier(ws: Workspace, nodes: DataFrame, above: DataFrame, name: str) -> DataFrame:
-    own = above.withColumnRenamed("rank", "block")
-    return ws.keep(_block(nodes).groupBy("tree", "block").cogroup(own.groupBy("tree", "block")).applyInArrow(_down, _PATHS), name)
+def _with_above(nodes: DataFrame, above: DataFrame, tier: int):
+    """Each block with the row of its own node."""
+    return _block(nodes, tier).groupBy("tree", "block").cogroup(above.withColumnRenamed("rank", "block").groupBy("tree", "block"))
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, tier: int = TIER) -> DataFrame:
     """Leaf, roots and proof of each row of docs, and whether its text, as ``tampered`` gives it, still leads to the root.
 
     Returns doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, one row for each row of docs.  Any column may be null.  In a
@@ -189,6 +201,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     null source stands first and is another than the empty one.  An empty table gives no row.  Other columns are ignored.
 
     tampered: the text at the time of checking, an expression over docs' columns; the text itself if None.
+    tier: levels of a block; the result is the same for any.
     """
     ws = Workspace(docs.sparkSession, "merkle")
     fields = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars")]
@@ -197,18 +210,17 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     tree = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))  # a key without nulls, null's first
     leaves = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tree.alias("tree"), node.alias("node"), now.alias("now"))
     leaves = _ranked(ws, ws.keep(leaves, "leaves"), ["doc_id", "node"], "ranked")
-    trees = _tiers(ws, leaves, "trees")
+    trees = _tiers(ws, leaves, "trees", tier)
     subroots = _ranked(ws, trees[-1].select(F.lit("").alias("tree"), F.col("tree").alias("source"), "node"), ["source"], "subroots")
-    overall = _tiers(ws, subroots, "overall")
+    overall = _tiers(ws, subroots, "overall", tier)
 
     top = overall[-1].select("tree", "rank", F.lit("").alias("subroot"), F.col("node").alias("root"), F.array().cast("array<string>").alias("path"))
     for i, nodes in reversed(list(enumerate(overall[:-1]))):
-        top = _to_lower_tier(ws, nodes, top, f"down-overall-{i}")
+        top = ws.keep(_with_above(nodes, top, tier).applyInArrow(_down(tier), _PATHS), f"down-overall-{i}")
     top = subroots.join(top.drop("tree", "subroot"), "rank").select(F.col("source").alias("tree"), F.lit(0).cast("bigint").alias("rank"), F.col("node").alias("subroot"), "root", "path")
     for i, nodes in reversed(list(enumerate(trees[1:-1], 1))):
-        top = _to_lower_tier(ws, nodes, top, f"down-trees-{i}")
-    own = top.withColumnRenamed("rank", "block")
-    proofs = _block(leaves).groupBy("tree", "block").cogroup(own.groupBy("tree", "block")).applyInArrow(_prove, _PROOFS)
+        top = ws.keep(_with_above(nodes, top, tier).applyInArrow(_down(tier), _PATHS), f"down-trees-{i}")
+    proofs = _with_above(leaves, top, tier).applyInArrow(_prove(tier), _PROOFS)
     return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
@@ -227,7 +239,7 @@ def _op12_sql(levels: int = 5) -> str:
     steps = "flatten([[ascii((doc_id::VARCHAR)[i]), -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, len((doc_id::VARCHAR)) + 1)])"
     crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x::BIGINT) ELSE xor(c >> 1, (c & 1) * 3988292384::BIGINT) END), 4294967295::BIGINT)"
     out = [
-        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS now FROM documents)",
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS now FROM documents)",
         "t0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos FROM d)",
         "s0 AS (SELECT source AS g, pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM t0)",
     ]
