@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_cla
     """From at most ``rows_per_class`` whole labelled texts of each class and their counterfactual twins."""
     some = linear.labelled_sample(docs, labels, label, rows_per_class)
     # Ids may be of any size: the bounded sample's rows are numbered, in order of doc_id, to leave room for the twins.
-    some = some.withColumn("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("bigint"))
+    some = some.withColumn("doc_id", F.row_number().over(Window.orderBy("doc_id", F.xxhash64("text"), "label")).cast("bigint"))
     rows = some.mapInArrow(_twins(swaps), "doc_id bigint, label int, text string").mapInArrow(linear._extract(linear.word_and_stem), "doc_id bigint, label int, features array<int>").toArrow()
     ids = np.sort(rows.column("doc_id").to_numpy()) if rows.num_rows else np.zeros(0, int)
     return fit(linear.Sample(rows), ids, swaps)
