@@ -19,9 +19,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates; documents without an id all stay."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates; documents without an id all stay.  Rows that repeat in all
+    columns count once; a doc_id with several texts keeps them all."""
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "_row"])
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
