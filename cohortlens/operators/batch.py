@@ -437,6 +437,13 @@ class Mixture:
     def label(self, x: np.ndarray) -> np.ndarray:
         return self.logs(x).argmax(axis=1)
 
+    def proper(self) -> bool:
+        """Whether every covariance is one that has a density."""
+        try:
+            return bool(np.isfinite(np.linalg.cholesky(self.covs)).all())
+        except np.linalg.LinAlgError:
+            return False
+
     @property
     def bic(self) -> float:
         k, p = self.means.shape
@@ -485,9 +492,13 @@ def mixtures(data: DataFrame, fits: list[Fit], steps: int = 200, reg: float = 1e
             covs = s[1 + k + k * p :].reshape(k, p, p) / np.maximum(s0, 1e-12)[:, None, None] - np.einsum("kp,kq->kpq", means, means)
             new = Mixture(job, s0 / s0.sum(), means, _shaped(job.kind, s0, covs, reg), float(s[0]) if step else -np.inf, float(s0.sum()))
             settled = step > 1 and new.loglik - out[i].loglik < tol * abs(new.loglik)
+            if not new.proper():
+                new.loglik, settled = -np.inf, True
             out[i] = new
             if not settled and step < steps:
                 left.append(i)
+        if step == steps and not settled:
+            warnings.warn(f"_NOT_SETTLED: {steps} steps", stacklevel=2)
         open_ = left
         if not open_:
             break

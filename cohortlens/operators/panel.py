@@ -8,18 +8,17 @@ kind, k, replicate), so results don't depend on how tasks are spread.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import batch as B
 from . import kernels as N
-from . import latent as L
+from . import latent_batch as LB
 from . import validity
 from .segments import assign
 
@@ -165,86 +164,36 @@ def bootstrap_jaccard(people: DataFrame, labels: dict, k: int, reps: int = 100,
 # --- fits on all rows -----------------------------------------------------------------------------
 
 
-def kmeans_full(people: DataFrame, k: int, starts: int = 3, seed: int = 42) -> DataFrame:
-    """(segment, f) centres of the best of some k-means|| starts over all people."""
-    v = people.select(array_to_vector("f").alias("features")).persist()
-    models = [KMeans(k=k, seed=seed + i, maxIter=40).fit(v) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    v.unpersist()
-    centres = sorted([float(x) for x in c] for c in best.clusterCenters())
+def kmeans_full(people: DataFrame, k: int, starts: int = 50) -> DataFrame:
+    """(segment, f) centres of the best of many starts over all people, all starts in the same scans."""
+    data = B.prepared(people).persist()
+    best = B.best(B.kmeans(data, [B.Job(k, s) for s in range(starts)]))[B.Job(k)]
+    data.unpersist()
+    centres = sorted([float(x) for x in c] for c in best.centres)  # type: ignore[attr-defined]
     return people.sparkSession.createDataFrame(list(enumerate(centres)), "segment bigint, f array<double>")
 
 
-def _moments(means: np.ndarray, covs: np.ndarray, weights: np.ndarray):
-    k, p = means.shape
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s0, s1, s2, ll = np.zeros(k), np.zeros((k, p)), np.zeros((k, p, p)), 0.0
-        chol = np.linalg.cholesky(covs)
-        for f in frames:
-            if not len(f):
-                continue
-            x = np.stack(f["f"].to_numpy()).astype(float)
-            logs = np.stack([-0.5 * (np.linalg.solve(chol[j], (x - means[j]).T) ** 2).sum(axis=0) - np.log(np.diag(chol[j])).sum() for j in range(k)], axis=1) + np.log(weights) - 0.5 * p * np.log(2 * np.pi)
-            top = logs.max(axis=1, keepdims=True)
-            r = np.exp(logs - top)
-            ll += float((top[:, 0] + np.log(r.sum(axis=1))).sum())
-            r /= r.sum(axis=1, keepdims=True)
-            s0, s1, s2 = s0 + r.sum(axis=0), s1 + r.T @ x, s2 + np.einsum("nk,np,nq->kpq", r, x, x)
-        yield pd.DataFrame({"sums": [np.concatenate([[ll], s0, s1.ravel(), s2.ravel()]).tolist()]})
-
-    return run
-
-
-def gmm_full(people: DataFrame, k: int, steps: int = 1000, reg: float = 1e-4, kind: str = "full") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(weights, means, covariances, log-likelihood) by EM over all people until it settles: each partition sends its sufficient statistics only."""
-    ids, x = working_set(people, 2000)
-    fit = N.mixture_ladder(x, k, 42, kind)
-    p = x.shape[1]
-    means = np.stack([x[fit["labels"] == j].mean(axis=0) if (fit["labels"] == j).any() else x[j] for j in range(k)])
-    covs, weights, ll = np.stack([np.cov(x.T) + reg * np.eye(p)] * k), np.full(k, 1 / k), -np.inf
-    for _ in range(steps):
-        parts = people.select("f").mapInPandas(_moments(means, covs, weights), "sums array<double>")
-        pos = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-        s = np.array([r["v"] for r in pos])
-        new, s0 = s[0], s[1 : 1 + k]
-        means = s[1 + k : 1 + k + k * p].reshape(k, p) / s0[:, None]
-        covs = s[1 + k + k * p :].reshape(k, p, p) / s0[:, None, None] - np.einsum("kp,kq->kpq", means, means)
-        if kind == "tied":
-            covs = np.stack([np.einsum("k,kpq->pq", s0, covs) / s0.sum()] * k)
-        elif kind in ("diag", "spherical"):
-            d = np.stack([np.diag(c) for c in covs])
-            covs = np.stack([np.diag(v if kind == "diag" else np.full(p, v.mean())) for v in d])
-        covs, weights = covs + reg * np.eye(p), s0 / s0.sum()
-        if new - ll < 1e-6 * abs(new):
+def gmm_full(people: DataFrame, k: int, steps: int = 1000, kinds: tuple[str, ...] = B.SHAPES, starts: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(weights, means, covariances, log-likelihood) by EM over all people from their best k-means fits, of the first covariance shape that fits without degenerating."""
+    data = B.prepared(people).persist()
+    first = sorted(B.kmeans(data, [B.Job(k, s) for s in range(10)]), key=lambda f: f.inertia)[:starts]
+    for kind in kinds:
+        found = B.mixtures(data, [B.Fit(replace(f.job, kind=kind), f.centres) for f in first], steps)
+        best = max(found, key=lambda m: m.loglik)
+        if np.isfinite(best.loglik):
             break
-        ll = new
     else:
-        warnings.warn(f"_NOT_SETTLED: {steps} steps", stacklevel=2)
-    return weights, means, covs, float(new)
-
+        raise ValueError("_MIXTURE_DEGENERATES")
+    data.unpersist()
+    return best.weights, best.means, best.covs, best.loglik
 
-def lca_full(answers: DataFrame, k: int, steps: int = 1000, seed: int = 42) -> tuple[DataFrame, float]:
-    """(posteriors: id, class, p, loglik; total log-likelihood) by EM over all answers (id, item, level) until it settles, from a hash start.
 
-    The shares, items x levels x classes of them, go through the driver each step, which also cuts the plan's lineage.
-    """
-    spark = answers.sparkSession
-    start = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int")
-    classes = spark.range(k).select(F.col("id").cast("int").alias("class"))
-    post = answers.select("id").distinct().crossJoin(F.broadcast(classes)).withColumn("p", F.when(start == F.col("class"), 0.8).otherwise(0.2 / max(1, k - 1)))
-    last = -np.inf
-    for _ in range(steps):
-        pi, theta = L.m_step(answers, post)
-        pi, theta = spark.createDataFrame(pi.collect(), pi.schema), spark.createDataFrame(theta.collect(), theta.schema)
-        post = L.e_step(answers, pi, theta)
-        ll = post.groupBy("id").agg(F.first("loglik").alias("l")).agg(F.sum("l")).first()[0]
-        if ll - last < 1e-6 * abs(ll):
-            break
-        last = ll
-    else:
-        warnings.warn(f"_NOT_SETTLED: {steps} steps", stacklevel=2)
-    return post, float(ll)
+def lca_full(answers: DataFrame, k: int, steps: int = 200, starts: int = 20) -> tuple[DataFrame, float]:
+    """(posteriors: id, class, p, loglik; total log-likelihood) of the best of many starts of EM over all answers (id, item, level)."""
+    c = LB.coded(answers, [B.EVERYBODY])
+    m = max(LB.fit(c, [B.Job(k, s) for s in range(starts)], steps), key=lambda m: m.loglik)
+    c.patterns.unpersist()
+    return LB.posteriors(c, m, answers), m.loglik
 
 
 def consensus_partition(people: DataFrame, k: int, reps: int = 50, most: int = validity.PAIRWISE, seed: int = 42) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import softmax, total
+from . import gower
 
 
 def centroid_rule(items: list[str], scaling: str, params: dict[str, tuple[float, float]], centres: list[list[float]], centre: dict[str, float] | None = None) -> dict:
@@ -96,9 +97,58 @@ def classify_lca(rule: dict, df: DataFrame) -> DataFrame:
     return out.withColumn("segment", F.element_at(classes, top.cast("int"))).withColumn("confidence", F.bround(F.array_max("_p"), 3)).drop("_lp", "_p")
 
 
+def gower_rule(spec: gower.GowerSpec, prototypes: list[dict], likert: dict[str, dict[str, float]] | None = None) -> dict:
+    """Prototypes in encoded units, with the specification that training fitted: scales, ranks of levels, known answers.
+
+    likert: for items that arrive as words, what each word (lower case) counts.
+    """
+    return {"method": "gower", "items": list(spec.kinds), "spec": spec.to_json(), "prototypes": prototypes, "likert": likert or {}}
+
+
+def _encoded(rule: dict, spec: gower.GowerSpec, df: DataFrame, item: str) -> Column:
+    """An item in the units of training, by look-ups in the rule alone; an unseen or missing pick-one answer is null."""
+    x = F.col(item)
+    if spec.kinds[item] == gower.NOMINAL:
+        return F.when(x.isin(spec.levels[item]), x)
+    if points := rule["likert"].get(item):
+        number = F.create_map(*(F.lit(v) for w, n in points.items() for v in (w, float(n))))[F.lower(F.trim(x.cast("string")))]
+        x = F.coalesce(number, F.expr(f"try_cast(`{item}` AS double)"))
+    elif dict(df.dtypes)[item] == "string":
+        x = F.expr(f"try_cast(`{item}` AS double)")
+    x = x.cast("double")
+    x = F.coalesce(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x), F.lit(spec.centre[item]).cast("double"))
+    if spec.kinds[item] == gower.NUMERIC:
+        return x
+    near = F.array(*(F.struct(F.abs(x - F.lit(level)).alias("off"), F.lit(level).alias("level"), F.lit(rank).alias("rank")) for level, rank in sorted(spec.ranks[item].items())))
+    return F.array_min(near)["rank"]  # the lower level on ties
+
+
+def classify_gower(rule: dict, df: DataFrame) -> DataFrame:
+    """df with segment and confidence by Gower's distance to the rule's prototypes, one narrow stage without joins.
+
+    Ratings take the rank of the nearest level that training showed, missing ones training's centre; an answer to a pick-one item that training
+    never showed is a full mismatch with every prototype.  Words of a Likert item count what the rule says.  The lower segment wins ties.
+    """
+    _need(df, rule)
+    spec = gower.GowerSpec.from_json(rule["spec"])
+    own = {i: _encoded(rule, spec, df, i) for i in rule["items"]}
+    out = df.withColumns({f"_e{n}": own[i] for n, i in enumerate(rule["items"])})
+    at = {i: F.col(f"_e{n}") for n, i in enumerate(rule["items"])}
+
+    def part(i: str, p: dict) -> Column:
+        if spec.kinds[i] == gower.NOMINAL:
+            return F.when(at[i] == F.lit(p[i]), 0.0).otherwise(1.0)
+        return F.abs(at[i] - F.lit(float(p[i]))) / F.lit(float(spec.scale[i]))
+
+    d = F.array(*(F.struct((sum((part(i, p) for i in rule["items"]), F.lit(0.0)) / len(rule["items"])).alias("d"), F.lit(c).cast("bigint").alias("segment")) for c, p in enumerate(rule["prototypes"])))
+    out = out.withColumn("_d", d)
+    share = (1 / (F.array_min("_d")["d"] + 1e-9)) / total(F.transform("_d", lambda s: 1 / (s["d"] + 1e-9)))
+    return out.withColumn("segment", F.array_min("_d")["segment"]).withColumn("confidence", F.bround(share, 3)).drop("_d", *(f"_e{n}" for n in range(len(rule["items"]))))
+
+
 def score(rule: dict, df: DataFrame) -> DataFrame:
     """By the rule's method; works unchanged on a streaming DataFrame."""
-    return classify_lca(rule, df) if rule["method"] == "lca" else classify(rule, df)
+    return {"lca": classify_lca, "gower": classify_gower}.get(rule["method"], classify)(rule, df)
 
 
 def cv_accuracy(labelled: DataFrame, folds: int = 5) -> DataFrame:
@@ -119,3 +169,67 @@ def cv_accuracy(labelled: DataFrame, folds: int = 5) -> DataFrame:
     acc = told.agg(F.avg((F.col("segment") == F.col("typed")).cast("double")).alias("accuracy"))
     base = labelled.groupBy("segment").count().agg((F.max("count") / F.sum("count")).alias("baseline"))
     return acc.crossJoin(base).withColumn("lift", F.col("accuracy") - F.col("baseline"))
+
+
+def stratified_folds(labelled: DataFrame, folds: int | Column) -> DataFrame:
+    """labelled (id, segment, ...) with fold: people of a segment, in order of md5 of the id, are dealt round.
+
+    Ranks are two-level, so that no task sorts a whole segment: buckets of the hash are counted first, then people are ranked inside theirs.
+    """
+    h = F.md5(F.col("id").cast("string").cast("binary"))
+    d = labelled.withColumn("_h", h).withColumn("_b", F.substring(h, 1, 3))
+    counts = d.groupBy("segment", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("segment").orderBy("_b")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("segment", "_b").orderBy("_h", "id"))
+    d = d.withColumn("_r", rank).join(counts, ["segment", "_b"])
+    n = folds if isinstance(folds, Column) else F.lit(folds)
+    return d.withColumn("fold", F.pmod(F.col("_before") + F.col("_r") - 1, n)).drop("_h", "_b", "_r", "_before")
+
+
+def cv_typing(labelled: DataFrame, scaling: str = "range") -> DataFrame:
+    """(segment, n, recall, accuracy, baseline, lift) of nearest-centroid typing of (id, segment, f) in raw units, one row a segment; scaling is fitted anew without each fold.
+
+    Five stratified folds, fewer where a segment has fewer people.  Accuracy, lift and recall are null where a segment has one person only or there are
+    fewer than ten people.  One aggregate by segment, fold and item gives every fold's scaling and centroids, as what all folds have less its own; only
+    quantiles (``robust``) take a second one, over each person's four other folds.
+    """
+    spark = labelled.sparkSession
+    sizes = {r["segment"]: r["n"] for r in labelled.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a segment
+    n, kind = sum(sizes.values()), dict(labelled.dtypes)["segment"]
+    schema = f"segment {kind}, n bigint, recall double, accuracy double, baseline double, lift double"
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    base = max(sizes.values()) / n
+    if min(sizes.values()) < 2 or n < 10:
+        return spark.createDataFrame([(s, m, None, None, base, None) for s, m in sorted(sizes.items())], schema)
+    folds = min(5, *sizes.values())
+    d = stratified_folds(labelled.select("id", "segment", "f"), folds).persist()
+    x = F.col("x")
+    by = d.select("segment", "fold", F.posexplode("f").alias("pos", "x")).groupBy("segment", "fold", "pos").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    by = by.persist()  # folds x segments x items
+    other = spark.range(folds).select(F.col("id").cast("int").alias("out"))
+    rest = by.join(F.broadcast(other), F.col("fold") != F.col("out"))
+    means = rest.groupBy("out", "segment", "pos").agg((F.sum("s") / F.sum("n")).alias("m"))
+    one = rest.groupBy("out", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    if scaling == "range":
+        spread = F.col("hi") - F.col("lo")
+    elif scaling == "standardize":
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2))
+    elif scaling == "robust":
+        at = d.join(F.broadcast(other), F.col("fold") != F.col("out")).select("out", F.posexplode("f").alias("pos", "x"))
+        one = at.groupBy("out", "pos").agg((F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"))
+        spread = F.col("iqr")
+    elif scaling == "none":
+        spread = F.lit(1.0)
+    else:
+        raise ValueError(f"no parameters for scaling {scaling!r}")
+    # Shifts cancel in distances: of the scaled space only the spreads count.
+    w = one.select("out", "pos", F.when(spread > 0, spread).otherwise(1.0).alias("w"))
+    c = means.join(w, ["out", "pos"]).groupBy("out", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "m", "w"))).alias("c"))
+    c = c.groupBy(F.col("out").alias("fold")).agg(F.collect_list(F.struct("segment", "c")).alias("cs"))
+    apart = lambda v, p: ((v - p["m"]) / p["w"]) * ((v - p["m"]) / p["w"])
+    typed = F.array_min(F.transform("cs", lambda t: F.struct(total(F.zip_with(F.col("f"), t["c"], apart)).alias("d"), t["segment"].alias("segment"))))["segment"]
+    told = d.join(F.broadcast(c), "fold").select("segment", (typed == F.col("segment")).cast("bigint").alias("ok"))
+    out = told.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"))
+    every = out.agg((F.sum("ok") / F.sum("n")).alias("accuracy"))
+    return out.crossJoin(every).select("segment", "n", (F.col("ok") / F.col("n")).alias("recall"), "accuracy", F.lit(base).alias("baseline"), (F.col("accuracy") - base).alias("lift"))

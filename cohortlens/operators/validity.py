@@ -174,13 +174,24 @@ def gap_rule(diag: DataFrame) -> DataFrame:
     return d.agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("k"))), F.min_by("k", F.struct(-F.col("gap"), "k"))).alias("k"))
 
 
+def viable(diag: DataFrame, floor: float = 0.05) -> DataFrame:
+    """Without a k whose smallest segment is below ``floor``, if two candidates or more are left."""
+    n = F.sum((F.col("min_segment_share") >= floor).cast("int")).over(Window.partitionBy())
+    return diag.withColumn("_v", n).filter((F.col("_v") < 2) | (F.col("min_segment_share") >= floor)).drop("_v")
+
+
+def k_agreement(votes: DataFrame, ks: DataFrame) -> DataFrame:
+    """(k, k_agree) of ks: the share of criteria (signal, k) whose vote lies within one of k; both tables have a few rows."""
+    v = votes.select(F.col("k").alias("_vote"))
+    return ks.crossJoin(F.broadcast(v)).groupBy("k").agg(F.avg((F.abs(F.col("k") - F.col("_vote")) <= 1).cast("double")).alias("k_agree"))
+
+
 def signals(diag: DataFrame, ps_cutoff: float = 0.8, stability_cutoff: float = 0.75, floor: float = 0.05, gmm: bool = False) -> DataFrame:
     """(signal, k, weight): what each criterion votes for.
 
     A k whose smallest segment is below ``floor`` is out, if two candidates or more are left.
     """
-    viable = F.sum((F.col("min_segment_share") >= floor).cast("int")).over(Window.partitionBy())
-    d = diag.filter("true").withColumn("_v", viable).filter((F.col("_v") < 2) | (F.col("min_segment_share") >= floor)).drop("_v")
+    d = viable(diag, floor)
     best = F.max("stability").over(Window.partitionBy())
     d = d.withColumn("_within", (F.col("stability") >= stability_cutoff) & (best - F.col("stability") <= F.coalesce("stability_sd", F.lit(0.0))))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gower, kernels, panel, planner, segments, validity
+from ..operators import batch, kernels, kproto, latent_batch, panel, planner, segments, validity
 from . import grouping as G
 from . import interpreting as I
 from . import preparing as P
@@ -26,18 +26,10 @@ def gmm_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kproto_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-prototypes over all customers: distances in columns, prototypes by aggregation, until they stay."""
+    """Sizes and mean distances of k-prototypes over all customers, the best of ten seeded starts."""
     e, spec = P._encoded(spark, sf_dir)
-    cols = list(P.KINDS)
-    protos = [r.asDict() for r in e.orderBy("id").limit(3).select(*cols).collect()]
-    seen = []
-    while protos not in seen:
-        seen.append(protos)
-        d = [gower.distance(spec, {c: F.col(c) for c in cols}, {c: F.lit(p[c]) for c in cols}) for p in protos]
-        near = e.withColumn("cluster", F.array_min(F.array(*(F.struct(x.alias("d"), F.lit(i).alias("i")) for i, x in enumerate(d))))["i"])
-        new = {r["cluster"]: r.asDict() for r in gower.update_prototypes(near, spec, "cluster").collect()}  # k rows
-        protos = [{c: new.get(i, p)[c] for c in cols} for i, p in enumerate(protos)]
-    return near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    found = kproto.fit(e, spec, 3)
+    return kproto.assign(e, spec, found.rows).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"))
 
 
 @query()
@@ -92,3 +84,66 @@ def pca_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def planner_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.sweep(spark)
+
+
+@query()
+def kmeans_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of twenty starts that come as low as the best one."""
+    return batch.reached(G.people(spark, sf_dir), 3).agg(F.min("inertia").alias("inertia"), F.avg(F.col("reached").cast("double")).alias("reached"))
+
+
+@query()
+def single_cluster_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.single_cluster(G.people(spark, sf_dir))
+
+
+@query()
+def model_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.model_agreement(G.people(spark, sf_dir), 3)
+
+
+@query()
+def variable_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether segments of the ratings get clearer without the items that don't set them apart."""
+    return batch.variable_selection(G.people(spark, sf_dir), P.TYPES, 3)
+
+
+@query()
+def lca_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_batch.select(I._lca(spark, sf_dir)[0])
+
+
+@query()
+def pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where segments lie on the plane of the two widest axes: a row for each position, with its people."""
+    points, _ = batch.pca_2d(G.labelled(spark, sf_dir))
+    return batch.spots(points)
+
+
+@query(f"""{G.A3}, xy AS (SELECT id, max(x) FILTER (item = 'click') AS x, max(x) FILTER (item = 'view') AS y FROM s GROUP BY id),
+c AS (SELECT round(x, 1) AS x, round(y, 1) AS y, segment, count(*) AS m FROM xy JOIN a USING (id) GROUP BY ALL)
+SELECT x, y, arg_min(segment, -m * 1000 + segment)::BIGINT AS segment, sum(m)::BIGINT AS n FROM c GROUP BY x, y""")
+def map_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People who share a position of two ratings, at one decimal."""
+    at = G.labelled(spark, sf_dir).select("segment", F.col("f")[0].alias("x"), F.col("f")[4].alias("y"))
+    return batch.spots(at, 1)
+
+
+@query()
+def confidence_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confidence light of the final segments, every input fitted on all people but the panel's votes, which rest on its working set."""
+    p = G.people(spark, sf_dir)
+    votes = validity.signals(panel.diagnostics(p))
+    k = validity.recommend_k(votes).first()["k"]
+    data = batch.prepared(p).persist()
+    (found,) = batch.solutions(data, k, [None])
+    data.unpersist()
+    agree = validity.k_agreement(votes, spark.createDataFrame([(k,)], "k bigint")).first()["k_agree"]
+    cross, one = batch.model_agreement(p, k).first()["agreement_ari"], batch.single_cluster(p).first()["single"]
+    centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(found.fit.centres)], "segment bigint, f array<double>")
+    shadow = segments.shadow_fit(p, centres).agg(F.percentile("shadow", F.lit(0.5)).alias("median_shadow"), F.count(F.lit(1)).alias("n"))
+    row = [(k, float(found.jaccard.min()), found.split_half, agree, cross, one)]
+    d = spark.createDataFrame(row, "k bigint, min_jaccard double, split_half double, k_agree double, cross_method double, single boolean").crossJoin(shadow)
+    items = len(found.fit.centres[0])
+    light = validity.confidence(F.col("min_jaccard"), F.col("split_half"), F.col("k_agree"), F.col("cross_method"), F.col("n"), F.lit(items))
+    return d.withColumns({"confidence": light, "kind": validity.segmentation_kind(F.col("single"), F.col("split_half"), F.col("median_shadow"))})

@@ -155,21 +155,54 @@ def hopkins_fixed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(validity.hopkins(p, real.union(views.to_features(fake).withColumn("is_person", F.lit(False)))))
 
 
-#: A table of diagnostics with a tie, a k under the five per cent floor and criteria that disagree.
-DIAG = [
-    (2, 100.0, 0.60, 0.02, 0.41, 210.0, 0.92, 0.95, 0.96, 0.02, 0.08, 900.0, 905.0, 0.40),
-    (3, 61.0, 0.80, 0.03, 0.47, 260.0, 0.71, 0.86, 0.90, 0.10, 0.03, 840.0, 860.0, 0.22),
-    (4, 50.0, 0.78, 0.03, 0.44, 240.0, 0.83, 0.62, 0.78, 0.07, 0.12, 850.0, 880.0, 0.11),
-    (5, 43.0, 0.77, 0.04, 0.39, 231.0, 0.90, 0.55, 0.71, 0.08, 0.20, 861.0, 899.0, 0.06),
-    (6, 39.0, 0.90, 0.04, 0.55, 300.0, 0.60, 0.90, 0.97, 0.01, 0.01, 800.0, 810.0, 0.02),
-]
-DIAG_COLUMNS = "k bigint, inertia double, gap double, gap_se double, silhouette double, calinski_harabasz double, davies_bouldin double, prediction_strength double, stability double, stability_sd double, pac double, bic double, icl double, min_segment_share double"
-_NAMES = ", ".join(c.split()[0] for c in DIAG_COLUMNS.split(", "))
-DIAG_SQL = f"WITH dd({_NAMES}) AS (VALUES " + ", ".join(f"({r[0]}::BIGINT, " + ", ".join(f"{v}::DOUBLE" for v in r[1:]) + ")" for r in DIAG) + "), d AS (SELECT * FROM dd WHERE min_segment_share >= 0.05)"
+CANDIDATES = range(2, 7)
+MEASURES = "inertia gap gap_se silhouette calinski_harabasz davies_bouldin prediction_strength stability stability_sd pac bic icl min_segment_share".split()
 
 
-def diagnostics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DIAG, DIAG_COLUMNS)
+def _measures_sql(k: int) -> str:
+    """Simple measures of the assignment to the first k people: what the decision rules below are held against, not the panel's estimates."""
+    a = f"a{k}"
+    return f""", {views.assigned_sql(k, a)},
+{a}_t AS (SELECT id, min(d2) AS d1, list_sort(list(d2))[2] AS d2 FROM {a}_d GROUP BY id),
+{a}_f AS (SELECT t.id, segment, d1, CASE WHEN t.d2 > 0 THEN 1 - sqrt(d1 / t.d2) ELSE 0 END AS fit FROM {a}_t t JOIN {a} USING (id)),
+{a}_s AS (SELECT segment, count(*) AS n, avg(fit) AS fit FROM {a}_f GROUP BY segment),
+{a}_o AS (SELECT count(*) AS n, sum(d1) AS w, avg(fit) AS fit, stddev_pop(fit) AS sd, avg((fit < 0.1)::INT) AS pac, any_value(ss) AS ss FROM {a}_f, total),
+dd{k} AS (SELECT {k}::BIGINT AS k, w AS inertia, ln(ss / n) - ln(w / n) - 0.2::DOUBLE * {k} AS gap, sd / sqrt(n) AS gap_se, o.fit AS silhouette, (ss - w) / {k - 1} / (w / n) AS calinski_harabasz, sd / o.fit AS davies_bouldin,
+  0.5 + (SELECT min(fit) FROM {a}_s) AS prediction_strength, 0.3 + o.fit AS stability, sd AS stability_sd, pac, n * ln(w / n) + {k} * 5 * ln(n) AS bic, n * ln(w / n) + {k} * 5 * ln(n) + n * (1 - o.fit) AS icl,
+  (SELECT min(n) FROM {a}_s) / n::DOUBLE AS min_segment_share FROM {a}_o o)"""
+
+
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in MEASURES)
+DIAG_SQL = (
+    f"WITH {views.SCALED}, total AS (SELECT sum((x - m) ** 2) AS ss FROM (SELECT x, avg(x) OVER (PARTITION BY item) AS m FROM s))"
+    + "".join(_measures_sql(k) for k in CANDIDATES)
+    + ", dd AS (" + " UNION ALL ".join(f"SELECT k, {_ROUNDED} FROM dd{k}" for k in CANDIDATES) + "), d AS (SELECT * FROM dd WHERE min_segment_share >= 0.05 OR (SELECT count(*) FROM dd WHERE min_segment_share >= 0.05) < 2)"
+)
+
+
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each k: simple measures of the assignment to the first k people, the candidates of the rules below."""
+    p = people(spark, sf_dir)
+    at = p.select(F.posexplode("f").alias("pos", "x")).groupBy("pos").agg((F.var_pop("x") * F.count(F.lit(1))).alias("v")).agg(F.sum("v").alias("ss"))
+    rows = []
+    for k in CANDIDATES:
+        d = segments.distances(p, segments.first_centres(p, k))
+        d1, d2 = F.col("d")[0]["d2"], F.col("d")[1]["d2"]
+        f = d.select(F.col("d")[0]["segment"].alias("segment"), d1.alias("d1"), F.when(d2 > 0, 1 - F.sqrt(d1 / d2)).otherwise(0.0).alias("fit"))
+        by = f.groupBy("segment").agg(F.count(F.lit(1)).alias("m"), F.avg("fit").alias("mean"), F.sum("fit").alias("s1"), F.sum(F.col("fit") ** 2).alias("s2"), F.sum("d1").alias("w"), F.sum((F.col("fit") < 0.1).cast("int")).alias("low"))
+        o = by.agg(F.sum("m").alias("n"), F.sum("w").alias("w"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("low").alias("low"), F.min("mean").alias("least"), F.min("m").alias("smallest")).crossJoin(at)
+        o = o.withColumn("fit", F.col("s1") / F.col("n")).withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - F.col("fit") ** 2)))
+        w, n, size = F.col("w"), F.col("n"), F.lit(k).cast("bigint")
+        bic = n * F.log(w / n) + k * 5 * F.log(n)
+        told = {
+            "inertia": w, "gap": F.log(F.col("ss") / n) - F.log(w / n) - 0.2 * k, "gap_se": F.col("sd") / F.sqrt(n), "silhouette": F.col("fit"), "calinski_harabasz": (F.col("ss") - w) / (k - 1) / (w / n), "davies_bouldin": F.col("sd") / F.col("fit"),
+            "prediction_strength": F.col("least") + 0.5, "stability": F.col("fit") + 0.3, "stability_sd": F.col("sd"), "pac": F.col("low") / n, "bic": bic, "icl": bic + n * (1 - F.col("fit")), "min_segment_share": F.col("smallest") / n,
+        }
+        rows.append(o.select(size.alias("k"), *(F.round(told[m], 6).alias(m) for m in MEASURES)))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
 
 
 ELBOW = """(SELECT k FROM (SELECT k, (k - (SELECT min(k) FROM d)) / ((SELECT max(k) - min(k) FROM d) + 1e-12) AS px, (inertia - (SELECT min(inertia) FROM d)) / ((SELECT max(inertia) - min(inertia) FROM d) + 1e-12) AS py FROM d),
@@ -180,12 +213,12 @@ GAP = "(SELECT coalesce(min(k) FILTER (gap >= ng - ns), arg_max(k, gap)) FROM (S
 
 @query(DIAG_SQL + f" SELECT {ELBOW} AS k")
 def elbow_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.elbow(diagnostics(spark).filter("min_segment_share >= 0.05"))
+    return validity.elbow(validity.viable(diagnostics(spark, sf_dir)))
 
 
 @query(DIAG_SQL + f" SELECT {GAP} AS k")
 def gap_rule_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.gap_rule(diagnostics(spark).filter("min_segment_share >= 0.05"))
+    return validity.gap_rule(validity.viable(diagnostics(spark, sf_dir)))
 
 
 VOTES = DIAG_SQL + f""", v AS (SELECT 'silhouette' AS signal, arg_max(k, silhouette) AS k, 1 AS weight FROM d UNION ALL SELECT 'calinski_harabasz', arg_max(k, calinski_harabasz), 1 FROM d
@@ -197,26 +230,31 @@ UNION ALL SELECT 'elbow', {ELBOW}, 0 UNION ALL SELECT 'gap', {GAP}, 1)"""
 
 @query(VOTES + " SELECT signal, k, weight::BIGINT AS weight FROM v")
 def k_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.signals(diagnostics(spark))
+    return validity.signals(diagnostics(spark, sf_dir))
 
 
 @query(VOTES + " SELECT k, sum(weight)::BIGINT AS score FROM v GROUP BY k ORDER BY score DESC, sum((weight >= 2)::INT) DESC, k LIMIT 1")
 def recommend_k_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.recommend_k(validity.signals(diagnostics(spark)))
+    return validity.recommend_k(validity.signals(diagnostics(spark, sf_dir)))
 
 
 @query(DIAG_SQL + ", v AS (SELECT arg_min(k, icl) AS k, 2 AS w FROM dd UNION ALL SELECT arg_min(k, bic), 1 FROM dd UNION ALL SELECT min(k) FILTER (stability >= 0.75), 1 FROM dd) SELECT k, sum(w)::BIGINT AS score FROM v GROUP BY k ORDER BY score DESC, k LIMIT 1")
 def recommend_k_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.recommend_k_lca(diagnostics(spark))
+    return validity.recommend_k_lca(diagnostics(spark, sf_dir))
 
 
-@query(DIAG_SQL + """ SELECT k, CASE WHEN prediction_strength >= 0.75 AND stability >= 0.6 AND pac + 0.6 >= 0.6 AND silhouette + 0.2 >= 0.6 AND 120 >= 2 * 5 THEN 'High' WHEN prediction_strength >= 0.6 AND stability >= 0.4 THEN 'Moderate' ELSE 'Low' END AS confidence,
+@query(VOTES + """, agree AS (SELECT dd.k, avg((abs(v.k - dd.k) <= 1)::INT) AS k_agree FROM dd, v GROUP BY dd.k), n AS (SELECT count(*) AS n, (SELECT count(DISTINCT item) FROM s) AS items FROM (SELECT DISTINCT id FROM s))
+SELECT k, round(k_agree, 6) AS k_agree, CASE WHEN prediction_strength >= 0.75 AND stability >= 0.6 AND k_agree >= 0.6 AND silhouette + 0.3 >= 0.6 AND n >= 2 * items THEN 'High' WHEN prediction_strength >= 0.6 AND stability >= 0.4 THEN 'Moderate' ELSE 'Low' END AS confidence,
   CASE WHEN prediction_strength >= 0.85 THEN 'highly stable' WHEN prediction_strength >= 0.75 THEN 'stable' WHEN prediction_strength >= 0.6 THEN 'pattern' WHEN prediction_strength >= 0.5 THEN 'doubtful' ELSE 'dissolved' END AS reading,
-  CASE WHEN false AND stability < 0.5 THEN 'constructive' WHEN silhouette < 0.55 AND stability >= 0.6 THEN 'natural' WHEN stability >= 0.6 THEN 'reproducible' ELSE 'constructive' END AS kind FROM dd""")
+  CASE WHEN gap < gap_se AND stability < 0.5 THEN 'constructive' WHEN 1 - silhouette < 0.55 AND stability >= 0.6 THEN 'natural' WHEN stability >= 0.6 THEN 'reproducible' ELSE 'constructive' END AS kind FROM dd JOIN agree USING (k), n""")
 def confidence_light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = validity.confidence(F.col("prediction_strength"), F.col("stability"), F.col("pac") + 0.6, F.col("silhouette") + 0.2, F.lit(120), F.lit(5))
-    kind = validity.segmentation_kind(F.lit(False), F.col("stability"), F.col("silhouette"))
-    return diagnostics(spark).select("k", c.alias("confidence"), C.jaccard_reading(F.col("prediction_strength")).alias("reading"), kind.alias("kind"))
+    """The light for each candidate, its inputs measured on the table; the share of criteria that vote within one of it among them."""
+    d = diagnostics(spark, sf_dir)
+    n = people(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("f")).alias("items"))
+    d = d.join(validity.k_agreement(validity.signals(d), d.select("k")), "k").crossJoin(n)
+    light = validity.confidence(F.col("prediction_strength"), F.col("stability"), F.col("k_agree"), F.col("silhouette") + 0.3, F.col("n"), F.col("items"))
+    kind = validity.segmentation_kind(F.col("gap") < F.col("gap_se"), F.col("stability"), 1 - F.col("silhouette"))
+    return d.select("k", F.round("k_agree", 6).alias("k_agree"), light.alias("confidence"), C.jaccard_reading(F.col("prediction_strength")).alias("reading"), kind.alias("kind"))
 
 
 @query(f"WITH {views.SCALED}, p AS (SELECT id, list(round(x, 1) ORDER BY item) AS f FROM s GROUP BY id) SELECT count(*) AS n, count(DISTINCT f) AS n_distinct, least(count(*) // 2, count(DISTINCT f)) AS most_k, count(DISTINCT f) // 4 AS sensible_k FROM p")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import latent, profiling, scaling, segments, typing, views
+from ..operators import gower, latent, latent_batch, profiling, scaling, segments, typing, views
 from . import grouping as G
-from .preparing import _six
+from .preparing import KINDS, _six
 from .registry import query
 
 A3 = G.A3
@@ -69,13 +69,12 @@ def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(profiling.group_medians(_clusters(spark, sf_dir).select(F.col("cluster").alias("segment"), "spend"), "spend"))
 
 
-P = [("a", 0.01), ("b", 0.02), ("c", 0.03), ("d", 0.04), ("e", 0.5), ("f", 0.9)]
-
-
-@query("WITH p(name, p) AS (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in P) + """), i AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM p)
+@query(MOMENTS + """, p AS (SELECT item AS name, round(w / (b + w) / 12, 6) AS p FROM mo), i AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM p)
 SELECT name, p, i <= coalesce((SELECT max(i) FROM i WHERE p <= i / m::DOUBLE * 0.06), 0) AS significant FROM i""")
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.bh_fdr(spark.createDataFrame(P, "name string, p double"), 0.06)
+    """The step-up rule over one number for each item, a twelfth of the share of variance that segments leave."""
+    m = profiling.moments(G.labelled_long(spark, sf_dir))
+    return profiling.bh_fdr(m.select(F.col("item").alias("name"), F.round(F.col("within") / (F.col("between") + F.col("within")) / 12, 6).alias("p")), 0.06)
 
 
 @query()
@@ -216,3 +215,58 @@ SELECT id, class, round(exp(l - ll), 6) AS p, round(ll, 6) AS loglik FROM l JOIN
 def lca_estep_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers, post = _lca(spark, sf_dir)
     return _six(latent.e_step(answers, *latent.m_step(answers, post)).select("id", "class", "p", "loglik"))
+
+
+MIXED = f"""WITH {views.PROFILE}, t AS (SELECT * FROM p WHERE id % 2 = 0),
+ranks AS (SELECT orders, avg(n) AS rank FROM (SELECT orders, row_number() OVER (ORDER BY orders) AS n FROM t) GROUP BY orders),
+spec AS (SELECT max(spend) - min(spend) AS ss, quantile_cont(orders, 0.5) AS mo, (SELECT max(rank) - min(rank) FROM ranks) AS so FROM t),
+f AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, spend, rank, segment FROM t JOIN ranks USING (orders) ORDER BY id LIMIT 3),
+n AS (SELECT id, spend, CASE WHEN id % 11 <> 0 THEN orders + 0.4 END AS o, CASE WHEN id % 7 = 0 THEN 'NEW' WHEN id % 13 <> 0 THEN segment END AS segment FROM p WHERE id % 2 = 1),
+v AS (SELECT n.id, arg_min(rank, abs(coalesce(o, mo) - ranks.orders) * 1e6 + ranks.orders) AS rank FROM n, ranks, spec GROUP BY n.id),
+d AS (SELECT n.id, c, (abs(n.spend - f.spend) / ss + abs(v.rank - f.rank) / so + coalesce((n.segment <> f.segment)::INT, 1)) / 3.0::DOUBLE AS d FROM n JOIN v USING (id), f, spec)"""
+
+
+def mixed_rule(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame]:
+    """A rule of three fixed prototypes from customers of even id, and the others with halves, gaps and answers that training never showed."""
+    p = views.profile(spark, sf_dir).select("id", *KINDS)
+    train, new = p.filter("id % 2 = 0"), p.filter("id % 2 = 1")
+    spec = gower.fit_spec(train, KINDS)
+    protos = [r.asDict() for r in gower.encode(train, spec).orderBy("id").limit(3).select(*KINDS).collect()]
+    orders = F.when(F.col("id") % 11 != 0, F.col("orders") + 0.4)
+    segment = F.when(F.col("id") % 7 == 0, "NEW").when(F.col("id") % 13 != 0, F.col("segment"))
+    return typing.gower_rule(spec, protos), new.withColumns({"orders": orders, "segment": segment})
+
+
+@query(MIXED + " SELECT id, arg_min(c, round(d, 9) + c / 1e12)::BIGINT AS typed, round_even((1 / (min(d) + 1e-9)) / sum(1 / (d + 1e-9)), 3) AS confidence FROM d GROUP BY id")
+def classify_new_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by Gower's distance to a saved rule: ratings to the nearest known level, unseen and missing answers of a pick-one item as mismatches."""
+    rule, new = mixed_rule(spark, sf_dir)
+    return typing.score(typing.from_json(typing.to_json(rule)), new).select("id", F.col("segment").alias("typed"), "confidence")
+
+
+@query(A3 + """, b AS (SELECT segment, count(*) AS n FROM a GROUP BY segment), m AS (SELECT least(5, min(n)) AS folds, min(n) >= 2 AND sum(n) >= 10 AS ok, max(n) / sum(n)::DOUBLE AS baseline FROM b),
+f AS (SELECT id, segment, (row_number() OVER (PARTITION BY segment ORDER BY md5(id::VARCHAR), id) - 1) % (SELECT folds FROM m) AS fold FROM a), k AS (SELECT DISTINCT fold FROM f),
+w AS (SELECT k.fold, item, CASE WHEN max(x) > min(x) THEN max(x) - min(x) ELSE 1 END AS w FROM k JOIN f ON f.fold <> k.fold JOIN r USING (id) GROUP BY ALL),
+c AS (SELECT k.fold, f.segment, item, avg(x) AS c FROM k JOIN f ON f.fold <> k.fold JOIN r USING (id) GROUP BY ALL),
+d AS (SELECT f.id, f.segment AS truth, c.segment, sum(((r.x - c) / w) ** 2) AS d FROM f JOIN r USING (id) JOIN c ON c.fold = f.fold AND c.item = r.item JOIN w ON w.fold = f.fold AND w.item = r.item GROUP BY ALL),
+t AS (SELECT id, any_value(truth) AS segment, (arg_min(segment, d) = any_value(truth))::INT AS hit FROM d GROUP BY id)
+SELECT b.segment, b.n, CASE WHEN ok THEN round((SELECT avg(hit) FROM t WHERE t.segment = b.segment), 6) END AS recall, CASE WHEN ok THEN round((SELECT avg(hit) FROM t), 6) END AS accuracy, round(baseline, 6) AS baseline,
+  CASE WHEN ok THEN round((SELECT avg(hit) FROM t) - baseline, 6) END AS lift FROM b, m""")
+def typing_cv_refitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out typing with range scaling fitted anew without each fold, and recall by segment."""
+    raw = views.to_features(views.ratings(spark, sf_dir))
+    return _six(typing.cv_typing(raw.join(G.labelled(spark, sf_dir).select("id", "segment"), "id")))
+
+
+@query(LCA + """, l AS (SELECT id, class, sum(ln(theta)) + ln(any_value(pi)) AS l FROM ans JOIN th USING (item, level) JOIN pi USING (class) GROUP BY ALL), t AS (SELECT id, ln(sum(exp(l))) AS ll FROM l GROUP BY id),
+e AS (SELECT -sum(exp(l - ll) * (l - ll)) AS entropy FROM l JOIN t USING (id)), g AS (SELECT count(DISTINCT (item, level)) - count(DISTINCT item) AS free FROM ans), s AS (SELECT sum(ll) AS ll, count(*) AS n, 1 + 2 * (SELECT free FROM g) AS params FROM t)
+SELECT round(ll, 3) AS loglik, params::BIGINT AS n_params, round(-2 * ll + params * ln(n), 3) AS bic, round(-2 * ll + params * ln(n) + 2 * entropy, 3) AS icl, round(entropy / (n * ln(2)), 6) AS normalized_entropy FROM s, e""")
+def lca_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIC, ICL and entropy of two classes whose posteriors are given."""
+    answers, post = _lca(spark, sf_dir)
+    p = latent.e_step(answers, *latent.m_step(answers, post))
+    one = p.groupBy("id").agg(F.first("loglik").alias("ll"), (-F.sum(F.col("p") * F.log("p"))).alias("h")).agg(F.sum("ll").alias("ll"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    levels = answers.select("item", "level").distinct().groupBy("item").count().agg((F.sum("count") - F.count(F.lit(1))).alias("free")).first()["free"]
+    params = 1 + 2 * levels
+    bic, icl, norm = latent_batch.information(one["ll"], one["h"], params, one["n"], 2)
+    return spark.createDataFrame([(round(one["ll"], 3), params, round(bic, 3), round(icl, 3), round(norm, 6))], "loglik double, n_params bigint, bic double, icl double, normalized_entropy double")
