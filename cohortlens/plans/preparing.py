@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import manhattan
-from ..operators import gower, scaling, views
+from ..operators import gower, joins, scaling, views
 from ..sources import ingest
 from .registry import query
 
@@ -181,3 +181,18 @@ def multiselect_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('c_custkey', 'id'), ('c_name', 'skipped'), ('c_nationkey', 'continuous'), ('c_acctbal', 'continuous'), ('c_mktsegment', 'categorical')) v(\"column\", role)")
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.classify_columns(views.table(spark, sf_dir, "customer"), "c_custkey").table(spark)
+
+
+@query("SELECT n_name, n.n_nationkey % 3 AS segment FROM nation n JOIN region r ON n.n_nationkey = r.r_regionkey")
+def background_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People in both files only, keys compared as text."""
+    seg = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_name", (F.col("n_nationkey") % 3).alias("segment"))
+    regions = views.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("who"))
+    return joins.join_background(seg, regions, "who").join(seg.select("n_name", F.col("id").cast("string").alias("who")), "who").select("n_name", "segment")
+
+
+@query("SELECT o_orderkey, o_custkey % 4 AS segment FROM orders")
+def background_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files without a key pair up row by row."""
+    o = views.table(spark, sf_dir, "orders")
+    return joins.join_background(o.select((F.col("o_custkey") % 4).alias("segment")), o.select("o_orderkey"))
