@@ -85,10 +85,11 @@ def totals(data: DataFrame, work: Callable[..., list[np.ndarray]], matrix: Calla
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([np.ravel(s) for s in sums], pa.list_(pa.float64()))], names=["job", "sums"])
 
     rows = data.mapInArrow(run, "job int, sums array<double>").select("job", F.posexplode("sums").alias("pos", "v")).groupBy("job", "pos").agg(F.sum("v").alias("v")).collect()
-    out: list[np.ndarray] = [np.zeros(0)] * (1 + max((r["job"] for r in rows), default=-1))
+    sizes: dict[int, int] = {}
+    for r in rows:
+        sizes[r["job"]] = max(sizes.get(r["job"], 0), r["pos"] + 1)
+    out = [np.zeros(sizes[j]) for j in range(len(sizes))]
     for r in rows:
-        if not len(out[r["job"]]):
-            out[r["job"]] = np.zeros(1 + max(s["pos"] for s in rows if s["job"] == r["job"]))
         out[r["job"]][r["pos"]] = r["v"]
     return out
 
