@@ -1,6 +1,6 @@
 """Labelled pages from which the extraction weights are counted: ``[[`` and ``]]`` mark where the main text begins and ends."""
 
-PAGES = [
+_WHOLE = [
     """<!DOCTYPE html><html><head><title>River levels rise</title><style>p{margin:0}</style></head><body>
 <nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/sport">Sport</a></li></ul></nav>
 <div class="ad">Buy two get one free today</div>
@@ -27,3 +27,46 @@ the third autumn, dried, and ground between stones.</p><blockquote>No red lasts
 <p>The master reported three groundings since March. None did lasting harm.</p><p>The meeting closed at nine.</p>]]</div>
 <div class="share"><a href="/s1">Share</a> <a href="/s2">Post</a></div><form><label>Newsletter</label><input><button>Sign up</button></form></body></html>""",
 ]
+
+_PARAGRAPHS = [
+    "The ferry left the north quay an hour late, with forty crates of apples and a piano on deck.",
+    "Nobody had told the harbour master, who was at lunch, and the ropes were thrown to a boy selling papers.",
+    "By the time the fog had lifted the tide was turning. The captain chose the long way round the island, past the two lighthouses and the wreck.",
+    "It is the third delay this month. The company says that the engine is old, that parts come by train, and that the train is late as well.",
+    "Passengers were given tea.", "A hearing is set for June, when the council will read the log and ask the crew what they saw.",
+    "In the village the news was taken calmly: the bakery kept its ovens warm, and the school sent the older pupils to carry what had to be carried.",
+]
+_COMMENT = "Great piece, I was on that boat and can say that the tea was cold and the piano out of tune all the way home."
+_NOTICE = "We and our partners store information on your device and need your consent for measurement and for adverts that suit you; you can change this at any time."
+_MENU = '<div class="top-menu"><a href="/">Home</a> <a href="/a">Harbour</a> <a href="/b">Weather</a></div>'
+#: Containers of whole articles, some with words that elsewhere mark what is not part of one.
+_HOLDERS = [
+    "", 'class="content"', 'class="post-content share-buttons-on"', 'class="story promo-story"', 'id="main-text" class="ad-free"', 'class="article social"', 'class="entry widget-entry"', 'class="news-banner-body"',
+    'class="comment-article"', 'class="search-page"', 'class="alert-story"', 'id="login-page"', 'class="sponsored-news"', 'id="newsletter-archive"',
+]
+#: What stands around an article, by names that marks share with other words.
+_AROUND = [
+    "", '<div class="related-articles"><h3>More news</h3><p>Old engine fails again at sea.</p><p>Train late for the third time.</p></div>', '<div class="share-content"><p>Share this story with friends and family today</p></div>',
+    '<div id="newsletter-body"><p>Get our best stories each morning in your post.</p></div>', '<div class="widget-text"><p>Opening hours are from nine to five on all days.</p></div>',
+]
+
+
+def _layouts() -> list[str]:
+    """A page for each holder and kind of surroundings, with forms around all, long comments and long notices in turn."""
+    out = []
+    for i, holder in enumerate(_HOLDERS):
+        for j, around in enumerate(_AROUND):
+            n = i * len(_AROUND) + j
+            text = "".join(f"<p>{p}</p>" for p in (_PARAGRAPHS * 2)[n % 7 : n % 7 + 4 + n % 4])
+            comments = "".join(f'<div class="comment"><p>{_COMMENT}</p></div>' for _ in range(1 + 2 * (n % 3)))
+            notice = f'<div class="cookie-notice"><p>{" ".join([_NOTICE] * (1 + 3 * (n % 5 == 0)))}</p></div>' if n % 2 else ""
+            body = f'{notice}{_MENU}<div {holder}>[[<h1>Ferry late again</h1>{text}]]</div>{around}<div class="comments">{comments}</div><footer>Harbour Post</footer>'
+            if n % 3 == 0:
+                body = f"<form>{body}</form>"
+            elif n % 3 == 1:
+                body += '<form class="search-form"><p>Search the archive of the paper</p></form>'
+            out.append(f"<html><body>{body}</body></html>")
+    return out
+
+
+PAGES = _WHOLE + _layouts()

@@ -150,6 +150,23 @@ def test_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+WRAPPERS = [
+    'class="entry-content share-enabled"', 'class="article-search"', 'class="social-post"', 'class="login-story-body"', 'class="notice-article"', 'class="post-body comment-open"', 'class="td-post-content ad-wrapper"',
+    'class="entry-header-wrap"', 'class="article-body promo"', 'class="news-alert-body"', 'class="widget-content"', 'class="search-result-article"', 'class="sponsored-article"', 'id="comment-policy"', 'class="plain"',
+]
+
+
+@pytest.mark.parametrize("in_form", [False, True])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_articles_in_wrappers_with_marks(wrapper, in_form):
+    blocks = ["Seven bridges", *(f"Bridge number {i} was built of stone in the year {1700 + i} and still stands, though carts may no longer cross it." for i in range(1, 7))]
+    article = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    around = "<nav><a href='/'>Home</a></nav><div class='ad'>Buy two get one free</div>", "<div class='share-bar'>Share this page</div><div class='comments'><div class='comment-body'><p>" + "I walked over all of them last year. " * 5 + "</p></div></div><footer>Bridge Post</footer>"
+    body = f"{around[0]}<div {wrapper}>{article}</div>{around[1]}"
+    page = f"<html><body>{f'<form action=x>{body}</form>' if in_form else body}</body></html>"
+    assert html_extract.main_text(page) == "\n\n".join(blocks)
+
+
 def test_extract_gives_each_row_its_own_text(spark):
     rows = [(1, "u", "<p>one two</p>"), (1, "u", "<p>one two</p>"), (2, None, None), (3, "v", ""), (None, "w", "<p>caf&eacute; " + "long " * 50000 + "</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(1)})
