@@ -353,6 +353,7 @@ def test_permutation(n):
 
 
 def test_token_round_trip(spark, odd, tmp_path):
+    """Every row's text comes back from its sequences, the repeated one twice."""
     shards = token_shards.write_shards(odd, str(tmp_path / "s"), length=16, per_shard=500)
     rows = shards.toPandas()
     assert sorted(rows["slot"]) == list(range(len(rows))) and (rows["slot"] // 500 == rows["shard"]).all()
@@ -361,14 +362,76 @@ def test_token_round_trip(spark, odd, tmp_path):
         enc = token_shards.tokenizer(f.read())
     back: dict = {}
     for r in rows.sort_values("seq").itertuples():
-        key = None if r.doc_id != r.doc_id else r.doc_id
-        if key != 4:
-            back.setdefault(key, []).extend(np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist())
-    for r in odd.filter("text <> '' and (doc_id is null or doc_id <> 4)").collect():
-        assert enc.decode(back[r["doc_id"]]) == r["text"]
+        back.setdefault(None if r.doc_id != r.doc_id else r.doc_id, {}).setdefault(r.seq, []).append(np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist())
+    counts: dict = {}
+    for r in odd.filter("text <> ''").collect():
+        counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
+        got = back[r["doc_id"]]
+        assert enc.decode([t for seq in sorted(got) for t in got[seq][0]]) == r["text"] and all(v == got[seq][0] for seq in got for v in got[seq])
+    assert counts[4] == 2 and {d: {len(v) for v in got.values()} for d, got in back.items()} == {d: {n} for d, n in counts.items()}
     assert token_shards.write_shards(odd.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def shard_bytes(spark, path):
+    return [open(r["file"].removeprefix("file:"), "rb").read() for r in token_shards.read_manifest(spark, path).orderBy("shard").collect()]
+
+
+def test_slots_are_those_of_a_plain_permutation(spark, tmp_path):
+    docs = docs_of(spark, [f"document {i} " * (i % 40) for i in range(60)])
+    shards = token_shards.write_shards(docs.repartition(5), str(tmp_path / "s"), length=8, per_shard=100, key=5, by_key=True)
+    rows = sorted(shards.collect(), key=lambda r: (r["doc_id"], r["seq"]))  # the order of numbers
+    want = token_shards.permute(np.arange(len(rows)), len(rows), 5)
+    assert [r["slot"] for r in rows] == want.tolist()
+    for i in (0, 7, len(rows) - 1):  # walked one by one
+        half = max(1, ((len(rows) - 1).bit_length() + 1) // 2)
+        x = i
+        while True:
+            left, right = x >> half, x & ((1 << half) - 1)
+            for r in range(1, 7):
+                k = int(K.mix(np.array([r], np.uint64) + np.uint64(5))[0])
+                left, right = right, left ^ (int(K.mix(np.array([right ^ k], np.uint64))[0]) & ((1 << half) - 1))
+            x = left << half | right
+            if x < len(rows):
+                break
+        assert x == want[i]
+
+
+def test_same_bytes_for_any_partitioning(spark, tmp_path):
+    docs = docs_of(spark, [f"document {i % 50} " * (i % 37) for i in range(120)])
+    docs = docs.union(docs.limit(20))
+    out = []
+    for n, parts in enumerate((docs.coalesce(1), docs.repartition(3), docs.repartition(7, "text"))):
+        token_shards.write_shards(parts, str(tmp_path / f"s{n}"), length=8, per_shard=64, by_key=True)
+        out.append(shard_bytes(spark, str(tmp_path / f"s{n}")))
+    assert out[0] == out[1] == out[2] and len(out[0]) > 3
+
+
+def test_same_bytes_for_any_split_of_the_files(spark, tmp_path):
+    docs_of(spark, [f"document {i} " * (i % 37) for i in range(3000)]).coalesce(2).write.option("parquet.block.size", "4096").parquet(str(tmp_path / "docs"))
+    out = []
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        token_shards.write_shards(docs, str(tmp_path / size), length=8, per_shard=5000)
+        out.append((docs.rdd.getNumPartitions(), shard_bytes(spark, str(tmp_path / size))))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert out[0][0] != out[1][0] and out[0][1] == out[1][1]
+
+
+def test_a_reader_seeks_and_resumes(spark, tmp_path):
+    docs = docs_of(spark, [f"document {i} " * (i % 37) for i in range(100)])
+    at = str(tmp_path / "s")
+    rows = sorted(token_shards.write_shards(docs, at, length=8, per_shard=50).collect(), key=lambda r: r["slot"])
+    m = token_shards.read_manifest(spark, at).collect()
+    assert {r["stride"] for r in m} == {token_shards.stride(8)} and all(r["bytes"] == r["stride"] * min(50, r["sequences"] - 50 * r["shard"]) for r in m)
+    for first in (0, 1, 49, 50, 137, len(rows) - 1, len(rows)):
+        got = list(token_shards.sequences_from(m, first))
+        assert [(s, d, q, i.tobytes()) for s, d, q, i in got] == [(r["slot"], r["doc_id"], r["seq"], r["tokens"][: 2 * r["n_tokens"]]) for r in rows[first:]]
+    raw = shard_bytes(spark, at)[2]
+    size = token_shards.stride(8)
+    assert np.frombuffer(raw, token_shards.HEADER, 1, 37 * size)[0].tolist()[:2] == (rows[137]["doc_id"], rows[137]["seq"])
+
+
 # --- 6 --------------------------------------------------------------------------------------------
 
 
