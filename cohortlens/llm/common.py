@@ -48,14 +48,14 @@ class Workspace:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def numbered(ws: Workspace, texts: DataFrame) -> DataFrame | None:
-    """A number for each different (doc_id, text) of texts, in order of doc_id, where a doc_id has several texts; else None.
+def numbered(ws: Workspace, texts: DataFrame, always: bool = False) -> DataFrame | None:
+    """A number for each different (doc_id, text) of texts, in order of doc_id, where a doc_id has several texts or ``always``; else None.
 
     Columns: doc_id, of (a hash of the text) and node.  Null ids get none.
     """
     rows = texts.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("of"))
     several = rows.groupBy("doc_id").agg((F.min("of") < F.max("of")).alias("several")).filter("several")
-    if several.isEmpty():
+    if not always and several.isEmpty():
         return None
     return ws.keep(rows.distinct().orderBy("doc_id", "of").withColumn("node", F.monotonically_increasing_id()), "nodes")
 

@@ -400,12 +400,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_byt
     """
     ws = Workspace(docs.sparkSession, "suffix")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes, place = numbered(ws, texts), F.col("doc_id")
+    one = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("without")).first()
+    # Rows without an id get numbers from 2**62 on; where an id is as large, all ids give way to numbers in their order.
+    nodes, place = numbered(ws, texts, always=bool(one["without"] and (one["last"] or 0) >= 1 << 62)), F.col("doc_id")
     if nodes is not None:
         texts, place = texts.withColumn("of", F.xxhash64("text")).join(nodes, ["doc_id", "of"], "left"), F.col("node")
     key = F.coalesce(place, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
     texts = texts.select(key.alias("doc"), "doc_id", "text")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = one["bytes"] or 0
     parts = max(8, total // (4 << 20))
     tasks = min(TASKS, parts)
 
