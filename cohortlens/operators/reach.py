@@ -74,6 +74,12 @@ def incremental(hits: DataFrame, items: list[str], chosen: list[str], n_people:
     return spark.createDataFrame(rows, "step bigint, item string, reached double, gain double, alone double")
 
 
+def worth_telling(hits: DataFrame, size: int = 3, top_n: int = 3, least_people: int = 40) -> DataFrame:
+    """One row (people, items, told): whether reach of sets of ``size`` says anything: enough people, and items of which a person accepts a third at most."""
+    one = hits.agg(F.countDistinct("id").alias("people"), F.countDistinct("item").alias("items"))
+    return one.withColumn("told", (F.col("people") >= least_people) & (F.col("items") >= max(size + 2, 3 * top_n)))
+
+
 def holdout(hits: DataFrame, items: list[str], size: int, splits: int = 40, seed: int = 42) -> DataFrame:
     """(split, reach): reach among one half of the people of the best set of the other half; null below 20 people.
 

@@ -81,14 +81,16 @@ def silhouette(labelled: DataFrame, most: int = PAIRWISE, metric: str = "euclide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, codes, sizes, metric = shared.value
+        middle = x.mean(axis=0) if len(x) else 0.0  # products lose least near zero
+        x = x - middle
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                mine, own = np.array(part.column(2).to_pylist(), float), np.array(part.column(1).to_pylist())
+                mine, own = np.array(part.column(2).to_pylist(), float) - middle, np.array(part.column(1).to_pylist())
                 if metric == "euclidean":
-                    d = np.sqrt(np.maximum(0, ((mine[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)))
-                else:
-                    d = np.abs(mine[:, None, :] - x[None, :, :]).sum(axis=2)
+                    d = np.sqrt(np.maximum(0, ((mine**2).sum(axis=1)[:, None] - 2 * mine @ x.T) + (x**2).sum(axis=1)))
+                else:  # item by item, so that no array has items for its third side
+                    d = sum(np.abs(mine[:, j, None] - x[None, :, j]) for j in range(x.shape[1]))
                 sums = np.stack([d[:, codes == c].sum(axis=1) for c in range(len(sizes))], axis=1)
                 at = np.searchsorted(names, own)
                 row = np.arange(len(own))

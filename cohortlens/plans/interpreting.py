@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import gower, latent, latent_batch, profiling, scaling, segments, typing, views
+from ..functions import wording
+from ..operators import charts, gower, latent, latent_batch, profiling, scaling, segments, typing, views
 from . import grouping as G
 from .preparing import KINDS, _six
 from .registry import query
@@ -101,8 +102,6 @@ def segment_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(A3 + ", m AS (SELECT segment, item, avg(x) AS m FROM a JOIN s USING (id) GROUP BY ALL) SELECT segment, item, round(m - avg(m) OVER (PARTITION BY item), 6) AS deviation FROM m")
 def heatmap_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segment's mean less the unweighted mean over segments."""
-    from pyspark.sql.window import Window
-
     s = scaling.scale(views.ratings(spark, sf_dir), "range").join(G.labelled(spark, sf_dir).select("id", "segment"), "id")
     m = s.groupBy("segment", "item").agg(F.avg("x").alias("m"))
     return _six(m.select("segment", "item", (F.col("m") - F.avg("m").over(Window.partitionBy("item"))).alias("deviation")))
@@ -270,3 +269,74 @@ def lca_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = 1 + 2 * levels
     bic, icl, norm = latent_batch.information(one["ll"], one["h"], params, one["n"], 2)
     return spark.createDataFrame([(round(one["ll"], 3), params, round(bic, 3), round(icl, 3), round(norm, 6))], "loglik double, n_params bigint, bic double, icl double, normalized_entropy double")
+
+
+SHADOW = A3 + """, d AS (SELECT id, segment, sqrt(d2) AS d, row_number() OVER (PARTITION BY id ORDER BY d2, segment) AS n FROM a_d),
+sh AS (SELECT x.id, x.segment AS closest, y.segment AS second, CASE WHEN x.d + y.d > 0 THEN 2 * x.d / (x.d + y.d) ELSE 0 END AS shadow FROM d x JOIN d y USING (id) WHERE x.n = 1 AND y.n = 2)"""
+
+
+def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = G.people(spark, sf_dir)
+    return segments.shadow_fit(p, segments.first_centres(p, 3))
+
+
+@query(SHADOW + """, g AS (SELECT closest, second, round(avg(shadow), 6) AS m, count(*) AS n FROM sh GROUP BY ALL), u AS (SELECT *, least(closest, second) AS a, greatest(closest, second) AS b FROM g),
+rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m DESC, closest) AS i FROM u), t AS (SELECT a, b, m, n FROM rk WHERE i = 1 ORDER BY m DESC, a, b LIMIT 4)
+SELECT a, b, m AS mean_shadow, n, CASE WHEN m >= 0.80 THEN 'barely distinguishable' WHEN m >= 0.55 THEN 'shade into one another' ELSE 'own territory' END AS verdict FROM t""")
+def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = charts.neighbour_pairs(_six(segments.neighbours(_fits(spark, sf_dir))))
+    return pairs.withColumn("verdict", wording.neighbours_verdict(F.col("mean_shadow")))
+
+
+XY = "xy AS (SELECT id, max(x) FILTER (item = 'click') AS x, max(x) FILTER (item = 'view') AS y FROM s GROUP BY id), pt AS (SELECT a.segment, x, y FROM xy JOIN a USING (id)), ce AS (SELECT segment, avg(x) AS cx, avg(y) AS cy FROM pt GROUP BY segment)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.labelled(spark, sf_dir).select("segment", F.col("f")[0].alias("x"), F.col("f")[4].alias("y"))
+
+
+@query(f"""{A3}, {XY}, e AS (SELECT min(x) AS lx, max(x) - min(x) AS sx, min(y) AS ly, max(y) - min(y) AS sy FROM pt),
+g AS (SELECT k % 40 AS i, k // 40 AS j, lx - 0.07 * sx + (k % 40) / 39 * 1.14 * sx AS x, ly - 0.07 * sy + (k // 40) / 39 * 1.14 * sy AS y FROM range(1600) t(k), e)
+SELECT i::INT AS i, j::INT AS j, arg_min(segment, round((x - cx) ** 2 + (y - cy) ** 2, 12) * 1e9 + segment / 1e3)::BIGINT AS region FROM g, ce GROUP BY i, j""")
+def decision_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom each spot of a map of two ratings falls to."""
+    return charts.decision_grid(_points(spark, sf_dir), 40).select("i", "j", "region")
+
+
+@query(f"{A3}, {XY}, q AS (SELECT *, row_number() OVER () AS id FROM pt), t AS (SELECT q.id, any_value(q.segment) AS own, arg_min(ce.segment, (x - cx) ** 2 + (y - cy) ** 2) AS region FROM q, ce GROUP BY q.id) SELECT count(*) AS n, round(avg((own = region)::INT), 6) AS agree FROM t")
+def map_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(charts.map_agreement(_points(spark, sf_dir)))
+
+
+@query(SHADOW + """, v AS (SELECT closest AS segment, 1 - shadow AS value FROM sh), b AS (SELECT least(26, greatest(10, floor(sqrt(min(n)) * 1.15)))::INT AS bins, min(lo) AS lo, max(hi) AS hi FROM (SELECT count(*) AS n, min(value) AS lo, max(value) AS hi FROM v GROUP BY segment)),
+h AS (SELECT segment, least(floor((value - lo) / (hi - lo) * bins), bins - 1)::INT AS bin, count(*) AS n FROM v, b GROUP BY ALL) SELECT segment, bin, n, round(n / sum(n) OVER (PARTITION BY segment)::DOUBLE, 6) AS share FROM h""")
+def fit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of a segment's people, in as many bins as the smallest segment bears."""
+    return _six(charts.histogram(_fits(spark, sf_dir).select(F.col("closest").alias("segment"), (1 - F.col("shadow")).alias("value"))))
+
+
+@query(A3 + """, z AS (SELECT segment, count(*) / (sum(count(*)) OVER ())::DOUBLE AS share FROM a GROUP BY segment), w AS (SELECT *, round_even(share * 100, 0)::INT || '%' AS pct FROM z),
+n AS (SELECT segment, min(abs(share - 1 / d::DOUBLE)) AS off, arg_min(d, abs(share - 1 / d::DOUBLE)) AS d FROM z, range(3, 11) t(d) GROUP BY segment)
+SELECT segment, CASE WHEN share >= 0.45 THEN 'about half (' || pct || ')' WHEN off <= 0.03 THEN 'about 1 in ' || d || ' (' || pct || ')' ELSE pct END AS phrase FROM w JOIN n USING (segment)""")
+def share_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = G.labelled(spark, sf_dir).groupBy("segment").count()
+    share = n.select("segment", (F.col("count") / F.sum("count").over(Window.partitionBy())).alias("share"))
+    return share.select("segment", wording.fraction(F.col("share")).alias("phrase"))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT 'I like the ' || lower(p_type) || ' and' || ' ' || p_brand || '?' AS q FROM part), f AS (SELECT q, regexp_replace(regexp_replace(trim(regexp_replace(q, '[\s_]+', ' ', 'g')), '[\s?]+$', ''), '^[Ii] +', '') AS flat FROM t),
+c AS (SELECT *, trim(regexp_replace(' ' || regexp_extract(flat, '^(.{1,30}) ', 1), '( (to|for|of|in|on|at|a|an|the|and|or|rather|than|with|by|from|that|as|is|are|my|own|it|about|would|will|can))+$', '', 'i')) AS kept FROM f)
+SELECT q, CASE WHEN length(flat) <= 30 THEN flat WHEN kept = '' THEN regexp_extract(flat, '^([^ ]+)', 1) || '…' ELSE kept || '…' END AS label FROM c""")
+def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of product names, shortened for charts."""
+    p = views.table(spark, sf_dir, "part")
+    q = p.select(F.concat(F.lit("I like the "), F.lower("p_type"), F.lit(" and"), F.lit(" "), F.col("p_brand"), F.lit("?")).alias("q")).distinct()
+    return q.select("q", wording.short_label(F.col("q")).alias("label"))
+
+
+@query(f"""WITH {views.SCALED}, p AS (SELECT id, list(round(x, 1) ORDER BY item) AS f FROM s GROUP BY id), o AS (SELECT count(DISTINCT f) / count(*)::DOUBLE AS share, max(len(f)) AS items FROM p)
+SELECT round(share, 6) AS distinct_share, items::INT AS items, CASE WHEN share < 0.5 AND items <= 3 THEN 'same answers, few items' WHEN share < 0.5 THEN 'same answers' WHEN items <= 3 THEN 'few items' ELSE '' END AS doubts FROM o""")
+def hopkins_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.to_features(scaling.scale(views.ratings(spark, sf_dir), "range").withColumn("x", F.round("x", 1)))
+    one = p.agg((F.countDistinct("f") / F.count(F.lit(1))).alias("share"), F.max(F.size("f")).alias("items"))
+    return one.select(F.round("share", 6).alias("distinct_share"), "items", F.array_join(wording.hopkins_doubts(F.col("share"), F.col("items")), ", ").alias("doubts"))

@@ -160,3 +160,8 @@ def hb_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws, _ = choice.hb_utilities(c)
     means = draws.groupBy("item").agg(F.avg("value").alias("utility"), F.max("rhat").alias("rhat"), F.max("n_used").alias("n_used"))
     return means.withColumn("settled", F.col("rhat") < choice.SETTLED).join(choice.counts(c).select("item", "score"), "item")
+
+
+@query(HITS + " SELECT count(DISTINCT id) AS people, count(DISTINCT item) AS items, count(DISTINCT id) >= 40 AND count(DISTINCT item) >= 9 AS told FROM hits")
+def turf_worth_telling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reach.worth_telling(_hits(spark, sf_dir)[0])
