@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Sets to try one by one before searching greedily.
 EXHAUSTIVE = 200_000
+#: Bits of a set of items.
+MOST_ITEMS = 62
 
 
 def top_items(long: DataFrame, n: int = 3) -> DataFrame:
@@ -21,8 +23,14 @@ def top_items(long: DataFrame, n: int = 3) -> DataFrame:
 
 def masks(hits: DataFrame, items: list[str]) -> DataFrame:
     """(mask, n): distinct sets of hit items as bits, and how many people have each.  All later steps look at these few rows."""
+    return _person_masks(hits, items).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _person_masks(hits: DataFrame, items: list[str]) -> DataFrame:
+    if len(items) > MOST_ITEMS:
+        raise ValueError(f"_TOO_MANY_ITEMS:{len(items)}")
     bit = F.create_map(*(F.lit(v) for i, x in enumerate(items) for v in (x, 1 << i)))
-    return hits.select("id", bit[F.col("item")].alias("b")).distinct().groupBy("id").agg(F.sum("b").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+    return hits.select("id", bit[F.col("item")].alias("b")).distinct().groupBy("id").agg(F.sum("b").alias("mask"))
 
 
 def reach_of(mask_counts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -37,7 +45,7 @@ def reach_of(mask_counts: DataFrame, sets: DataFrame) -> DataFrame:
 def best_set(hits: DataFrame, items: list[str], size: int) -> tuple[list[str], int, str, int | None]:
     """(items, people reached, 'exhaustive' or 'greedy', number of sets that tie): the first best in order of item numbers.
 
-    At most 62 items.  The candidate sets have a known number, so the exhaustive search is a join; the greedy one adds
+    At most MOST_ITEMS items.  The candidate sets have a known number, so the exhaustive search is a join; the greedy one adds
     the item that reaches most, the first on ties.
     """
     m = masks(hits, items)
@@ -74,6 +82,41 @@ def incremental(hits: DataFrame, items: list[str], chosen: list[str], n_people:
     return spark.createDataFrame(rows, "step bigint, item string, reached double, gain double, alone double")
 
 
+def best_mask(masks_: np.ndarray, n: np.ndarray, n_items: int, size: int) -> int:
+    """The first set of ``size`` items that reaches most people, each mask's people counted by n; greedy beyond EXHAUSTIVE sets."""
+    if comb(n_items, size) <= EXHAUSTIVE:
+        sets = np.array([sum(1 << i for i in c) for c in combinations(range(n_items), size)], np.int64)
+        reached = np.concatenate([((sets[lo : lo + 2048, None] & masks_) != 0) @ n for lo in range(0, len(sets), 2048)])
+        return int(sets[reached.argmax()])
+    mask = 0
+    for _ in range(size):
+        gain = [-1 if mask >> i & 1 else n[(masks_ & (mask | 1 << i)) != 0].sum() for i in range(n_items)]
+        mask |= 1 << int(np.argmax(gain))
+    return mask
+
+
+def turf(hits: DataFrame, items: list[str], size: int = 3, splits: int = 40, most_ties: int = 12) -> DataFrame:
+    """One row: the best set's items in the order in which each adds most, what each adds and reaches alone, the set's reach, what a set chosen on one half reaches
+    in the other, how much the headline overstates, and which sets tie.
+
+    Columns: items, gains, alone, reach, holdout_reach, optimism (null below 20 people), search, n_tied (null after a greedy search), tied_items (the
+    first ``most_ties`` of several), n_people, n_items.
+    """
+    spark = hits.sparkSession
+    n = hits.agg(F.countDistinct("id").alias("n")).first()["n"]
+    chosen, reached, search, ties = best_set(hits, items, size)
+    steps = incremental(hits, items, chosen, n).orderBy("step").collect()
+    held = holdout(hits, items, len(chosen), splits).agg(F.avg("reach").alias("r")).first()["r"]
+    tied: list[list[str]] = []
+    if ties is not None and ties > 1:
+        sets = spark.createDataFrame([(sum(1 << i for i in c), j) for j, c in enumerate(combinations(range(len(items)), len(chosen)))], "set_mask bigint, nth bigint")
+        rows = reach_of(masks(hits, items), sets).filter(F.col("reached") == reached).orderBy("nth").limit(most_ties).collect()
+        tied = [[x for i, x in enumerate(items) if r["set_mask"] >> i & 1] for r in rows]
+    share = reached / n if n else 0.0
+    row = ([r["item"] for r in steps], [r["gain"] for r in steps], [r["alone"] for r in steps], share, held, None if held is None else share - held, search, ties, tied, n, len(items))
+    return spark.createDataFrame([row], "items array<string>, gains array<double>, alone array<double>, reach double, holdout_reach double, optimism double, search string, n_tied int, tied_items array<array<string>>, n_people bigint, n_items int")
+
+
 def worth_telling(hits: DataFrame, size: int = 3, top_n: int = 3, least_people: int = 40) -> DataFrame:
     """One row (people, items, told): whether reach of sets of ``size`` says anything: enough people, and items of which a person accepts a third at most."""
     one = hits.agg(F.countDistinct("id").alias("people"), F.countDistinct("item").alias("items"))
@@ -85,8 +128,7 @@ def holdout(hits: DataFrame, items: list[str], size: int, splits: int = 40, seed
 
     People are grouped by (half, mask) for all splits at once; what a task searches is masks and counts.
     """
-    bit = F.create_map(*(F.lit(v) for i, x in enumerate(items) for v in (x, 1 << i)))
-    people = hits.select("id", bit[F.col("item")].alias("b")).distinct().groupBy("id").agg(F.sum("b").alias("mask"))
+    people = _person_masks(hits, items)
     halves = people.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("half", F.pmod(F.xxhash64("id", "split", F.lit(seed)), F.lit(2)))
     counts = halves.groupBy("split", "half", "mask").agg(F.count(F.lit(1)).alias("n"))
     n_items = len(items)
@@ -99,20 +141,7 @@ def holdout(hits: DataFrame, items: list[str], size: int, splits: int = 40, seed
         if total < 20:
             return pd.DataFrame({"split": [int(rows["split"].iat[0])], "reach": [None]}, dtype=object)
         a, b = rows[rows["half"] == 0], rows[rows["half"] == 1]
-        bits = (a["mask"].to_numpy()[:, None] >> np.arange(n_items)) & 1
-        n, free, mask = a["n"].to_numpy(), np.ones(len(a), bool), 0
-        if comb(n_items, k) <= 20_000:
-            best = -1
-            for c in combinations(range(n_items), k):
-                r = n[bits[:, c].any(axis=1)].sum()
-                if r > best:
-                    best, mask = r, sum(1 << i for i in c)
-        else:
-            for _ in range(k):
-                gain = (bits * (n * free)[:, None]).sum(axis=0)
-                i = int(gain.argmax())
-                mask |= 1 << i
-                free &= bits[:, i] == 0
+        mask = best_mask(a["mask"].to_numpy(), a["n"].to_numpy(), n_items, k)
         reach = b["n"].to_numpy()[(b["mask"].to_numpy() & mask) != 0].sum() / max(1, b["n"].sum())
         return pd.DataFrame({"split": [int(rows["split"].iat[0])], "reach": [float(reach)]})
 

@@ -165,3 +165,10 @@ def hb_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(HITS + " SELECT count(DISTINCT id) AS people, count(DISTINCT item) AS items, count(DISTINCT id) >= 40 AND count(DISTINCT item) >= 9 AS told FROM hits")
 def turf_worth_telling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.worth_telling(_hits(spark, sf_dir)[0])
+
+
+@query()
+def turf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three items, with what a held-out half says of them; halves are dealt by hash, so SQL has no counterpart."""
+    hits, items, _ = _hits(spark, sf_dir)
+    return reach.turf(hits, items)

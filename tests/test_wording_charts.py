@@ -79,3 +79,28 @@ def test_ids_of_new_files(spark):
     df = spark.createDataFrame([(i, i % 3, f"p{i}@x.org", i) for i in range(30)], "q1 int, q2 int, email string, id int")
     assert ingest.pick_id_column(df, ["q1", "q2"]) == "email" and ingest.pick_id_column(df, ["q1", "q2"], "q2") == "q2"
     assert ingest.pick_id_column(df.select("q2", "id"), ["q2", "id"]) == "id" and ingest.pick_id_column(df.select("q2"), []) is None
+
+
+def test_reach_report(spark):
+    """Pure noise overstates its best set; sets that tie are told; too many items are refused."""
+    rng = np.random.default_rng(2)
+    hits = spark.createDataFrame([(i, f"x{j:02}") for i in range(100) for j in rng.permutation(20)[:3].tolist()], "id int, item string")
+    items = sorted(f"x{j:02}" for j in range(20))
+    r = reach.turf(hits, items).first()
+    assert r["optimism"] > 0.05 and r["holdout_reach"] < r["reach"] and sum(r["gains"]) == pytest.approx(r["reach"]) and r["search"] == "exhaustive" and len(r["items"]) == 3
+    assert r["gains"][0] == max(r["alone"])
+    tie = reach.turf(spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)], "id int, item string"), ["a", "b", "c"], 2).first()
+    assert tie["n_tied"] == 3 and tie["tied_items"] == [["a", "b"], ["a", "c"], ["b", "c"]]
+    with pytest.raises(ValueError, match="_TOO_MANY_ITEMS:63"):
+        reach.masks(hits, [str(i) for i in range(63)])
+
+
+def test_best_masks_are_the_first_best():
+    rng = np.random.default_rng(3)
+    from itertools import combinations
+
+    for _ in range(20):
+        masks, n = np.unique(rng.integers(1, 1 << 8, 60)), None
+        n = rng.integers(1, 9, len(masks))
+        want = max(combinations(range(8), 3), key=lambda c: (n[(masks & sum(1 << i for i in c)) != 0].sum(), tuple(-i for i in c)))
+        assert reach.best_mask(masks, n, 8, 3) == sum(1 << i for i in want)
