@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batch, kernels, kproto, latent_batch, panel, planner, segments, validity
+from ..operators import batch, kernels, kproto, latent_batch, panel, planner, segments, study, validity, views
 from . import grouping as G
 from . import interpreting as I
 from . import preparing as P
@@ -147,3 +147,11 @@ def confidence_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = len(found.fit.centres[0])
     light = validity.confidence(F.col("min_jaccard"), F.col("split_half"), F.col("k_agree"), F.col("cross_method"), F.col("n"), F.lit(items))
     return d.withColumns({"confidence": light, "kind": validity.segmentation_kind(F.col("single"), F.col("split_half"), F.col("median_shadow"))})
+
+
+@query()
+def study_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole study of the ratings, from a table with one row a person to sized segments with their items' importance."""
+    wide = views.ratings(spark, sf_dir).groupBy(F.col("id").alias("respondent_id")).pivot("item", P.TYPES).agg(F.first("x"))
+    done = study.run(wide, "respondent_id", P.TYPES, 3)
+    return done.tables["segment_sizes"].crossJoin(done.tables["variable_importance"])
