@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import log_sum_exp
+
 
 def m_step(answers: DataFrame, post: DataFrame, alpha: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(class weights: class, pi; shares: item, level, class, theta) from posteriors (id, class, p).
@@ -20,8 +22,16 @@ def m_step(answers: DataFrame, post: DataFrame, alpha: float = 0.1) -> tuple[Dat
 
 
 def e_step(answers: DataFrame, pi: DataFrame, theta: DataFrame) -> DataFrame:
-    """(id, class, p, loglik): posteriors and each person's log-likelihood; answers join the few shares by broadcast."""
-    joint = answers.join(F.broadcast(theta), ["item", "level"]).groupBy("id", "class").agg(F.sum(F.log("theta")).alias("l")).join(F.broadcast(pi), "class").withColumn("l", F.col("l") + F.log("pi"))
-    top = joint.groupBy("id").agg(F.max("l").alias("m"), F.collect_list("l").alias("ls"))
-    top = top.select("id", (F.col("m") + F.log(F.aggregate("ls", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("m"))))).alias("loglik"))
-    return joint.join(top, "id").select("id", "class", F.exp(F.col("l") - F.col("loglik")).alias("p"), "loglik")
+    """(id, class, p, loglik): posteriors and each person's log-likelihood.
+
+    Classes are few: an answer's log shares travel as one array, and a person's are summed class by class in one aggregation.
+    """
+    classes = [(r["class"], float(r["pi"])) for r in pi.orderBy("class").collect()]
+    logs = theta.groupBy("item", "level").agg(F.map_from_entries(F.collect_list(F.struct("class", F.log("theta").alias("l")))).alias("ls"))  # one row a level
+    shown = answers.join(F.broadcast(logs), ["item", "level"])
+    sums = shown.groupBy("id").agg(*(F.sum(F.col("ls")[c]).alias(f"l{n}") for n, (c, _) in enumerate(classes)))
+    joint = F.array(*(F.col(f"l{n}") + F.log(F.lit(w)) for n, (_, w) in enumerate(classes)))
+    told = sums.select("id", joint.alias("ls")).select("id", "ls", log_sum_exp(F.col("ls")).alias("loglik"))
+    each = F.explode(F.arrays_zip(F.array(*(F.lit(c) for c, _ in classes)).alias("class"), F.col("ls").alias("l"))).alias("z")
+    kind = dict(pi.dtypes)["class"]
+    return told.select("id", each, "loglik").select("id", F.col("z.class").cast(kind).alias("class"), F.exp(F.col("z.l") - F.col("loglik")).alias("p"), "loglik")
