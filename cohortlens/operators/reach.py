@@ -117,9 +117,9 @@ def turf(hits: DataFrame, items: list[str], size: int = 3, splits: int = 40, mos
     return spark.createDataFrame([row], "items array<string>, gains array<double>, alone array<double>, reach double, holdout_reach double, optimism double, search string, n_tied int, tied_items array<array<string>>, n_people bigint, n_items int")
 
 
-def worth_telling(hits: DataFrame, size: int = 3, top_n: int = 3, least_people: int = 40) -> DataFrame:
-    """One row (people, items, told): whether reach of sets of ``size`` says anything: enough people, and items of which a person accepts a third at most."""
-    one = hits.agg(F.countDistinct("id").alias("people"), F.countDistinct("item").alias("items"))
+def worth_telling(answers: DataFrame, size: int = 3, top_n: int = 3, least_people: int = 40) -> DataFrame:
+    """One row (people, items, told) of (id, item), all that a study has: whether reach of sets of ``size`` says anything: enough people, and items of which a person accepts a third at most."""
+    one = answers.agg(F.countDistinct("id").alias("people"), F.countDistinct("item").alias("items"))
     return one.withColumn("told", (F.col("people") >= least_people) & (F.col("items") >= max(size + 2, 3 * top_n)))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import ingest
-from . import batch, gower, kproto, latent_batch, panel, profiling, scaling, segments, typing, validity, views
+from . import batch, choice, gower, kproto, latent_batch, panel, profiling, reach, scaling, segments, typing, validity, views
 from .joins import numbered
 
 
@@ -187,3 +187,34 @@ def score_file(spark: SparkSession, rule_path: str, path: str, out: str) -> Data
     kept = scored.select(*([F.col(f"`{name}`")] if name else []), *told)
     ingest.write_table(kept, f"{out}/new_assignments.csv")
     return kept
+
+
+def choice_tables(choices: DataFrame, size: int = 3, steps: int | None = None, burn: int | None = None, splits: int = 40) -> dict[str, DataFrame]:
+    """What a best-worst study comes to, by file name, from (respondent_id, set, item, choice).
+
+    item_utilities: the ranking with how sure each place is, counts beside it and the chains' R-hat.  respondent_utilities: a row a respondent, a column an
+    item, from 0 to 100.  what_to_launch: the set of ``size`` items of widest reach, where there are people and items enough to say something.
+    """
+    spark = choices.sparkSession
+    draws, people = (x.persist() for x in choice.hb_utilities(choices, steps, burn))
+    items = sorted(r["item"] for r in people.select("item").distinct().collect())
+    stack = draws.select((F.col("draw") * F.lit(1000) + F.col("chain")).alias("draw"), "item", "value")  # chains are few
+    sure = draws.agg(F.max("rhat").alias("rhat"))
+    ranked = choice.ranking(stack).join(choice.counts(choice.valid_sets(choices)), "item").crossJoin(sure).orderBy("rank")
+    wide = choice.rescaled(people).groupBy("respondent_id").pivot("item", items).agg(F.first("score"))
+    out = {"item_utilities": ranked, "respondent_utilities": wide}
+    everyone = people.select(F.col("respondent_id").alias("id"), "item", F.col("u").alias("x"))
+    hits = reach.top_items(everyone, 3)
+    if reach.worth_telling(everyone, size).first()["told"]:
+        best = reach.turf(hits, items, size, splits).first()
+        rows = [(n, x, a, g, best["reach"], best["holdout_reach"]) for n, (x, a, g) in enumerate(zip(best["items"], best["alone"], best["gains"], strict=True), 1)]
+        out["what_to_launch"] = spark.createDataFrame(rows, "rank int, item string, reach_alone double, incremental_reach double, combined_reach double, expected_reach_holdout double")
+    return out
+
+
+def save_choices(choices: DataFrame, out: str, **settings) -> dict[str, DataFrame]:
+    """choice_tables(), each written as a CSV folder."""
+    tables = choice_tables(choices, **settings)
+    for name, table in tables.items():
+        ingest.write_table(table, f"{out}/{name}.csv")
+    return tables

@@ -162,9 +162,9 @@ def hb_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.withColumn("settled", F.col("rhat") < choice.SETTLED).join(choice.counts(c).select("item", "score"), "item")
 
 
-@query(HITS + " SELECT count(DISTINCT id) AS people, count(DISTINCT item) AS items, count(DISTINCT id) >= 40 AND count(DISTINCT item) >= 9 AS told FROM hits")
+@query(f"WITH {views.TASTE} SELECT count(DISTINCT id) AS people, count(DISTINCT item) AS items, count(DISTINCT id) >= 40 AND count(DISTINCT item) >= 9 AS told FROM taste")
 def turf_worth_telling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach.worth_telling(_hits(spark, sf_dir)[0])
+    return reach.worth_telling(views.taste(spark, sf_dir))
 
 
 @query()

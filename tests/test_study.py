@@ -77,3 +77,29 @@ def test_the_number_of_groups_is_found(spark, tmp_path):
 
     s = study.run(ingest.read_table(spark, path), resamples=3)
     assert s.manifest["k"] == 3 and s.tables["k_selection_diagnostics"].count() > 1
+
+
+def choices_of(spark, n_items, n_people=45, sets=8, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n_people):
+        for t in range(sets):
+            shown = rng.choice(n_items, 4, replace=False)
+            u = shown * 0.6 + rng.gumbel(size=4)
+            rows += [(f"p{i:02}", t, f"item {x:02}", "best" if j == u.argmax() else "worst" if j == u.argmin() else "") for j, x in enumerate(shown)]
+    return spark.createDataFrame(rows, "respondent_id string, set int, item string, choice string")
+
+
+def test_choice_studies_write_what_to_launch(spark, tmp_path):
+    tables = study.save_choices(choices_of(spark, 10), str(tmp_path / "o"), steps=120, burn=60, splits=4)
+    top = tables["item_utilities"].limit(3).collect()
+    assert [r["rank"] for r in top] == [1, 2, 3] and {r["item"] for r in top} & {"item 09", "item 08"}
+    wide = spark.read.option("header", "true").csv(str(tmp_path / "o/respondent_utilities.csv"))
+    assert wide.count() == 45 and len(wide.columns) == 11
+    launch = tables["what_to_launch"].collect()
+    assert len(launch) == 3 and launch[0]["combined_reach"] == pytest.approx(sum(r["incremental_reach"] for r in launch)) and launch[0]["expected_reach_holdout"] <= 1
+    assert (tmp_path / "o/what_to_launch.csv").exists()
+
+
+def test_short_lists_say_nothing_of_reach(spark):
+    assert "what_to_launch" not in study.choice_tables(choices_of(spark, 5, 42, 3), steps=40, burn=20)
