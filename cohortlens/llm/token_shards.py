@@ -11,6 +11,7 @@ Texts are tokenised twice, once to count and once to write: that needs no interm
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -179,9 +180,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/_manifest")
 
 
-def read_shards(spark: SparkSession, path: str, length: int = 256, per_shard: int = 32768) -> DataFrame:
-    """shard, slot, doc_id, seq, n_tokens, tokens of each record under path."""
-    schema, size = "shard int, slot bigint, doc_id bigint, seq int, n_tokens int, tokens binary", stride(length)
+def read_shards(spark: SparkSession, path: str, length: int = 256, per_shard: int = 32768, digests: bool = False) -> DataFrame:
+    """shard, slot, doc_id, seq, n_tokens, tokens of each record under path; with ``digests`` tokens_sha256 (lowercase hex) instead of tokens."""
+    names = ["shard", "slot", "doc_id", "seq", "n_tokens", "tokens_sha256" if digests else "tokens"]
+    schema, size = f"shard int, slot bigint, doc_id bigint, seq int, n_tokens int, {'tokens_sha256 string' if digests else 'tokens binary'}", stride(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,11 +193,13 @@ def read_shards(spark: SparkSession, path: str, length: int = 256, per_shard: in
                     rows = raw[lo : lo + 2048]
                     n = len(rows)
                     told = np.ascontiguousarray(rows[:, : HEADER.itemsize]).view(HEADER)[:, 0]
-                    ids = np.ascontiguousarray(rows[:, HEADER.itemsize : -1])
-                    where = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * 2 * length).tobytes())
-                    tokens = pa.Array.from_buffers(pa.binary(), n, [None, where, pa.py_buffer(ids.tobytes())])
+                    if digests:
+                        tokens = pa.array([hashlib.sha256(x[HEADER.itemsize : -1]).hexdigest() for x in rows])
+                    else:
+                        where = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * 2 * length).tobytes())
+                        tokens = pa.Array.from_buffers(pa.binary(), n, [None, where, pa.py_buffer(np.ascontiguousarray(rows[:, HEADER.itemsize : -1]).tobytes())])
                     docs = pa.array(told["doc_id"], mask=told["doc_id"] == NO_ID)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(shard * per_shard + lo + np.arange(n)), docs, pa.array(told["seq"]), pa.array(told["n_tokens"].astype(np.int32)), tokens], names=["shard", "slot", "doc_id", "seq", "n_tokens", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(shard * per_shard + lo + np.arange(n)), docs, pa.array(told["seq"]), pa.array(told["n_tokens"].astype(np.int32)), tokens], names=names)
 
     return _files(spark, path).select("shard", "content").mapInArrow(run, schema)
 
@@ -222,5 +226,11 @@ def sequences_from(manifest: list, slot: int, open_file: Callable = open) -> Ite
 
 def op5_feistel_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` as shards of 256-token sequences; a digest of each sequence as it was written."""
-    shards = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "shards").path("shards"))
-    return shards.select("slot", "shard", "doc_id", "seq", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+    return written_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def written_digests(docs: DataFrame) -> DataFrame:
+    """shard, slot, doc_id, seq, n_tokens, tokens_sha256 of docs' shards, read back from where they were written."""
+    path = Workspace(docs.sparkSession, "shards").path("shards")
+    write_shards(docs, path)
+    return read_shards(docs.sparkSession, path, digests=True)

@@ -366,6 +366,8 @@ def test_token_round_trip(spark, odd, tmp_path):
     rows = shards.toPandas()
     assert sorted(rows["slot"]) == list(range(len(rows))) and (rows["slot"] // 500 == rows["shard"]).all()
     assert set(rows["tokens"].map(len)) == {32}
+    told = token_shards.read_shards(spark, str(tmp_path / "s"), 16, 500, digests=True).toPandas()
+    assert dict(zip(told["slot"], told["tokens_sha256"], strict=True)) == {r.slot: hashlib.sha256(r.tokens).hexdigest() for r in rows.itertuples()}
     with open(token_shards.VOCABULARY, "rb") as f:
         enc = token_shards.tokenizer(f.read())
     back: dict = {}
