@@ -42,8 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of token sequences in training order, written, and a digest of each sequence."""
-    shards = token_shards.write_shards(docs, Workspace(spark, "shards").path("shards"))
-    return shards.select("slot", "shard", "doc_id", "seq", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+    return token_shards.written_digests(docs)
 
 
 STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix_sources), ("tokens", token_output)]
