@@ -60,7 +60,7 @@ def _segment_numeric(clean: DataFrame, items: list[str], k: int | None, resample
         diagnostics = panel.diagnostics(people)
         tables["k_selection_diagnostics"] = diagnostics
         k = int(validity.recommend_k(validity.signals(diagnostics)).first()["k"])
-    data = batch.prepared(people).persist()
+    data = batch.held(people)
     (found,) = batch.solutions(data, k, [None], resamples=resamples)
     data.unpersist()
     order = sorted(range(k), key=lambda j: found.fit.centres[j].tolist())
