@@ -74,8 +74,18 @@ def make_design(spark: SparkSession, items: list[str], per_set: int, sets: int,
 
 def pair_balance(long: DataFrame) -> DataFrame:
     """(a, b, together) for each pair of items, a < b, also of those never shown together; over (respondent_id, set, item)."""
-    a, b = long.selectExpr("respondent_id", "set", "item a"), long.selectExpr("respondent_id", "set", "item b")
-    n = a.join(b, ["respondent_id", "set"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+    return _balance(long, _shown_sets(long))
+
+
+def _shown_sets(long: DataFrame) -> DataFrame:
+    """(items, n): the different sets of items on a screen, in order, and how often each is shown; far fewer than screens."""
+    at = long.filter("respondent_id is not null and set is not null")
+    return at.groupBy("respondent_id", "set").agg(F.sort_array(F.collect_list("item")).alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _balance(long: DataFrame, sets: DataFrame) -> DataFrame:
+    one = sets.select("n", "items", F.explode("items").alias("a"))
+    n = one.select("n", "a", F.explode("items").alias("b")).filter("a < b").groupBy("a", "b").agg(F.sum("n").alias("together"))
     items = long.select("item").distinct()
     every = items.selectExpr("item a").crossJoin(F.broadcast(items.selectExpr("item b"))).filter("a < b")
     return every.join(n, ["a", "b"], "left").select("a", "b", F.coalesce("together", F.lit(0)).alias("together"))
