@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import choice, design, reach, views
@@ -21,24 +21,28 @@ def maxdiff_validate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choice.valid_sets(c).groupBy("respondent_id").agg(F.countDistinct("set").alias("sets"), F.count(F.lit(1)).alias("shown"))
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(respondent_id, a column a type): codes of each respondent's first set.
+
+    A set becomes one row where it lies; these are dealt by respondent into as many partitions, and the first one is kept there.
+    """
+    c, n = views.dealt_choices(spark, sf_dir)
+    code = F.when(F.col("choice") == "best", 3).when(F.col("choice") == "worst", 1).otherwise(2)
+    sets = c.filter("respondent_id is not null").groupBy("respondent_id", "set").agg(*(F.max(F.when(F.col("item") == t, code)).alias(t) for t in TYPES))
+    at = F.row_number().over(Window.partitionBy("respondent_id").orderBy("set"))
+    return sets.repartition(n, "respondent_id").withColumn("at", at).filter("at = 1").select("respondent_id", *TYPES)
+
+
 @query(BW + ", k AS (SELECT respondent_id, min(set) AS set FROM bw GROUP BY respondent_id) SELECT respondent_id, 'Q1' AS set, item, choice FROM bw JOIN k USING (respondent_id, set)")
 def maxdiff_unpivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide export with one task of coded columns, read back into the tidy form."""
-    c = views.choices(spark, sf_dir)
-    first = c.groupBy("respondent_id").agg(F.min("set").alias("set"))
-    code = F.when(F.col("choice") == "best", 3).when(F.col("choice") == "worst", 1).otherwise(2)
-    wide = c.join(first, ["respondent_id", "set"]).groupBy("respondent_id").pivot("item", TYPES).agg(F.max(code))
-    wide = wide.select("respondent_id", *(F.col(t).alias(f"Q1_{t}") for t in TYPES))
+    wide = _wide(spark, sf_dir).select("respondent_id", *(F.col(t).alias(f"Q1_{t}") for t in TYPES))
     return choice.from_wide(wide, "respondent_id", best=3, worst=1)
 
 
 @query(BW + " SELECT CASE choice WHEN 'best' THEN 3.0 WHEN 'worst' THEN 1.0 ELSE 2.0 END::DOUBLE AS code, count(*) AS n FROM bw JOIN (SELECT respondent_id, min(set) AS set FROM bw GROUP BY respondent_id) USING (respondent_id, set) GROUP BY code")
 def wide_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.choices(spark, sf_dir)
-    first = c.groupBy("respondent_id").agg(F.min("set").alias("set"))
-    code = F.when(F.col("choice") == "best", 3).when(F.col("choice") == "worst", 1).otherwise(2)
-    wide = c.join(first, ["respondent_id", "set"]).groupBy("respondent_id").pivot("item", TYPES).agg(F.max(code))
-    return choice.codes_seen(wide, "respondent_id", TYPES)
+    return choice.codes_seen(_wide(spark, sf_dir), "respondent_id", TYPES)
 
 
 @query(BW + " SELECT item, count(*) FILTER (choice = 'best') AS best, count(*) FILTER (choice = 'worst') AS worst, count(*) AS shown, round((count(*) FILTER (choice = 'best') - count(*) FILTER (choice = 'worst')) / count(*)::DOUBLE, 6) AS score FROM bw GROUP BY item")
