@@ -45,7 +45,7 @@ def coded(answers: DataFrame, parts: list[B.Part]) -> Coded:
     people = told.join(codes, ["item", "level"]).groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("f"))
     share = {s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1 << 40)) / float(1 << 40) for s in {p[0] for p in parts}}
     inside = [F.sum(((share[s] >= lo) & (share[s] < hi)).cast("bigint")) for s, lo, hi in parts]
-    patterns = people.groupBy("f").agg(F.array(*inside).alias("w")).select(F.xxhash64("f").alias("u"), "f", "w").persist()
+    patterns = B.gathered(people.groupBy("f").agg(F.array(*inside).alias("w")).select(F.xxhash64("f").alias("u"), "f", "w"))
     sums = patterns.agg(*(F.coalesce(F.sum(F.col("w")[j]), F.lit(0)).alias(str(j)) for j in range(len(parts)))).first()
     return Coded(patterns, levels, parts, np.array(sums, float))
 
