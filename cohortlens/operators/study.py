@@ -11,14 +11,20 @@ import json
 import platform
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from math import sqrt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import clean_number
 from ..sources import ingest
-from . import batch, choice, gower, kproto, latent_batch, panel, profiling, reach, scaling, segments, typing, validity, views
+from . import batch, choice, gower, kproto, latent_batch, panel, profiling, reach, segments, typing, validity
 from .joins import numbered
 
+#: An item whose sample standard deviation is not above this tells nobody apart.
+CONSTANT = 1e-12
+
 
 @dataclass
 class Study:
@@ -43,40 +49,51 @@ def _two(items: list[str]) -> list[str]:
     return items
 
 
-def _numeric(clean: DataFrame, items: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(raw answers, people, items): means for gaps, no items that everybody answers alike, scaled by range."""
-    long = clean.select("id", *(F.col(f"`{c}`").cast("double").alias(c) for c in items)).unpivot("id", items, "item", "x")
-    long = scaling.drop_constant(scaling.impute_mean(long)).persist()
-    kept = _two(sorted(r["item"] for r in long.select("item").distinct().collect()))
-    return long, views.to_features(scaling.scale(long, "range")), kept
+def _numeric(clean: DataFrame, items: list[str]) -> tuple[DataFrame, list[str], dict[str, tuple[float, float]]]:
+    """(people, items, params): people (id, raw, f), persisted, of answers with means for gaps, without items that everybody answers alike.
+
+    raw and f, raw scaled by range, are in order of items; params: (shift, spread) of each.  All that filling and scaling need are a few numbers an
+    item, from one aggregation, so that people are mapped where they lie and never joined with themselves.
+    """
+    items = sorted(set(items))
+    answers = clean.select("id", F.array(*(clean_number(F.col(f"`{c}`").cast("double")) for c in items)).alias("x"))
+    told = [(F.count, "c"), (F.avg, "m"), (F.var_pop, "v"), (F.min, "lo"), (F.max, "hi")]
+    one = answers.agg(F.count(F.lit(1)).alias("n"), *(f(F.col("x")[j]).alias(f"{name}{j}") for j in range(len(items)) for f, name in told)).first()
+    n = one["n"]
+    varied = [j for j in range(len(items)) if n > 1 and one[f"c{j}"] and sqrt(one[f"v{j}"] * one[f"c{j}"] / (n - 1)) > CONSTANT]  # filled gaps lie at the mean
+    kept = _two([items[j] for j in varied])
+    fill = [(F.col("x")[j], F.lit(one[f"m{j}"])) for j in varied]
+    spreads = [one[f"hi{j}"] - one[f"lo{j}"] or 1.0 for j in varied]
+    scales = F.array(*(F.struct(F.lit(one[f"lo{j}"]).alias("shift"), F.lit(w).alias("spread")) for j, w in zip(varied, spreads, strict=True)))
+    people = answers.select("id", F.array(*(F.coalesce(x, m) for x, m in fill)).alias("raw")).repartition(batch.partitions(clean.sparkSession, n), "id")
+    people = people.withColumn("f", F.zip_with("raw", scales, lambda x, p: (x - p["shift"]) / p["spread"])).persist()
+    return people, kept, {c: (one[f"lo{j}"], w) for c, j, w in zip(kept, varied, spreads, strict=True)}
 
 
 def _segment_numeric(clean: DataFrame, items: list[str], k: int | None, resamples: int) -> Study:
     spark = clean.sparkSession
-    long, people, items = _numeric(clean, items)
-    people = people.persist()
+    people, items, params = _numeric(clean, items)
     tables = {}
     if k is None:
-        diagnostics = panel.diagnostics(people)
+        diagnostics = panel.diagnostics(people.select("id", "f"))
         tables["k_selection_diagnostics"] = diagnostics
         k = int(validity.recommend_k(validity.signals(diagnostics)).first()["k"])
-    data = batch.held(people)
-    (found,) = batch.solutions(data, k, [None], resamples=resamples)
-    data.unpersist()
+    (found,) = batch.solutions(batch.prepared(people), k, [None], resamples=resamples)
     order = sorted(range(k), key=lambda j: found.fit.centres[j].tolist())
     centres = [[float(v) for v in found.fit.centres[j]] for j in order]
-    centre_table = spark.createDataFrame(list(enumerate(centres)), "segment bigint, f array<double>")
-    fits = segments.shadow_fit(people, centre_table) if k > 1 else people.select("id", F.lit(0).alias("closest"), F.lit(1.0).alias("fit"))
-    own = fits.select("id", F.col("closest").alias("segment"), "fit").persist()
-    labelled = long.join(own.select("id", "segment"), "id")
-    params = {r["item"]: (r["shift"], r["spread"]) for r in scaling.scale_fit(long, "range").collect()}
+    centre_table = spark.createDataFrame(pa.table({"segment": range(k), "f": centres}))
+    fits = segments.shadow_fit(people, centre_table, "raw") if k > 1 else people.select("id", F.lit(0).alias("closest"), F.lit(1.0).alias("fit"), "raw")
+    held = fits.select("id", F.col("closest").alias("segment"), "fit", "raw").persist()
+    own = held.select("id", "segment", "fit")
+    answer = F.explode(F.arrays_zip(F.array(*(F.lit(c) for c in items)).alias("item"), F.col("raw").alias("x")))
+    labelled = held.select("segment", answer.alias("a")).select("segment", "a.item", "a.x")
     tables |= {
         "segment_centroids": labelled.groupBy("segment", "item").agg(F.avg("x").alias("mean")),
         "segment_stability_jaccard": spark.createDataFrame([(i, float(found.jaccard[j])) for i, j in enumerate(order)], "segment int, jaccard double"),
         "variable_importance": profiling.eta_squared(labelled),
         "segment_sizes": segments.sizes(own),
     }
-    typed = typing.cv_typing(views.to_features(long).join(own.select("id", "segment"), "id")).first()
+    typed = typing.cv_typing(held.select("id", "segment", F.col("raw").alias("f"))).first()
     manifest = {"split_half_ARI": found.split_half, "typing_cv_accuracy": typed["accuracy"], "per_segment_jaccard": {f"Segment {i}": float(found.jaccard[j]) for i, j in enumerate(order)}}
     return Study(own, typing.centroid_rule(items, "range", params, centres), manifest | {"k": k, "items": items}, tables)
 
@@ -127,7 +144,7 @@ def _segment_categorical(clean: DataFrame, items: list[str], k: int | None, resa
 
 
 def run(df: DataFrame, id_column: str | None = None, items: list[str] | None = None, k: int | None = None, resamples: int = 100) -> Study:
-    """A study of a table of answers, one row a person.
+    """A study of a table of answers, one row a person, which is read several times: one that is dear to make is best persisted.
 
     items: exactly these, instead of what auto_prepare takes.  Raises ValueError("_TWO_ITEMS_NEEDED") where fewer than two items tell people apart.
     """

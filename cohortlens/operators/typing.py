@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import softmax, total
-from . import gower
+from . import batch, gower
 
 
 def centroid_rule(items: list[str], scaling: str, params: dict[str, tuple[float, float]], centres: list[list[float]], centre: dict[str, float] | None = None) -> dict:
@@ -190,9 +192,11 @@ def cv_typing(labelled: DataFrame, scaling: str = "range") -> DataFrame:
     """(segment, n, recall, accuracy, baseline, lift) of nearest-centroid typing of (id, segment, f) in raw units, one row a segment; scaling is fitted anew without each fold.
 
     Five stratified folds, fewer where a segment has fewer people.  Accuracy, lift and recall are null where a segment has one person only or there are
-    fewer than ten people.  One aggregate by segment, fold and item gives every fold's scaling and centroids, as what all folds have less its own; only
+    fewer than ten people.  One aggregate by segment, fold and item gives every fold's scaling and centroids, as what all other folds have; only
     quantiles (``robust``) take a second one, over each person's four other folds.
     """
+    if scaling not in ("range", "standardize", "robust", "none"):
+        raise ValueError(f"no parameters for scaling {scaling!r}")
     spark = labelled.sparkSession
     sizes = {r["segment"]: r["n"] for r in labelled.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a segment
     n, kind = sum(sizes.values()), dict(labelled.dtypes)["segment"]
@@ -203,32 +207,46 @@ def cv_typing(labelled: DataFrame, scaling: str = "range") -> DataFrame:
     if min(sizes.values()) < 2 or n < 10:
         return spark.createDataFrame([(s, m, None, None, base, None) for s, m in sorted(sizes.items())], schema)
     folds = min(5, *sizes.values())
-    d = stratified_folds(labelled.select("id", "segment", "f"), folds).persist()
+    # What is persisted lies in as many partitions as its rows ask for, not in the session's number of them.
+    d = stratified_folds(labelled.select("id", "segment", "f"), folds).repartition(batch.partitions(spark, n), "id").persist()
     x = F.col("x")
     by = d.select("segment", "fold", F.posexplode("f").alias("pos", "x")).groupBy("segment", "fold", "pos").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-    by = by.persist()  # folds x segments x items
-    other = spark.range(folds).select(F.col("id").cast("int").alias("out"))
-    rest = by.join(F.broadcast(other), F.col("fold") != F.col("out"))
-    means = rest.groupBy("out", "segment", "pos").agg((F.sum("s") / F.sum("n")).alias("m"))
-    one = rest.groupBy("out", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    if scaling == "range":
-        spread = F.col("hi") - F.col("lo")
-    elif scaling == "standardize":
-        spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2))
-    elif scaling == "robust":
-        at = d.join(F.broadcast(other), F.col("fold") != F.col("out")).select("out", F.posexplode("f").alias("pos", "x"))
-        one = at.groupBy("out", "pos").agg((F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"))
-        spread = F.col("iqr")
-    elif scaling == "none":
-        spread = F.lit(1.0)
-    else:
-        raise ValueError(f"no parameters for scaling {scaling!r}")
-    # Shifts cancel in distances: of the scaled space only the spreads count.
-    w = one.select("out", "pos", F.when(spread > 0, spread).otherwise(1.0).alias("w"))
-    c = means.join(w, ["out", "pos"]).groupBy("out", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "m", "w"))).alias("c"))
-    c = c.groupBy(F.col("out").alias("fold")).agg(F.collect_list(F.struct("segment", "c")).alias("cs"))
+    cells = by.collect()  # folds x segments x items
+    names, items = sorted(sizes), 1 + max((r["pos"] for r in cells), default=-1)
+    count, added, squares = (np.zeros((len(names), folds, items)) for _ in range(3))
+    lo, hi = np.full(count.shape, np.inf), np.full(count.shape, -np.inf)
+    for r in cells:
+        if r["n"]:
+            at = names.index(r["segment"]), r["fold"], r["pos"]
+            count[at], added[at], squares[at], lo[at], hi[at] = r["n"], r["s"], r["q"], r["lo"], r["hi"]
+    iqr = {}
+    if scaling == "robust":
+        other = spark.range(folds).select(F.col("id").cast("int").alias("out"))
+        rest = d.join(F.broadcast(other), F.col("fold") != F.col("out")).select("out", F.posexplode("f").alias("pos", "x"))
+        found = rest.groupBy("out", "pos").agg((F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"))
+        iqr = {(r["out"], r["pos"]): r["iqr"] for r in found.collect()}  # folds x items
+    rules: list[list[dict]] = []
+    for out in range(folds):
+        train = np.arange(folds) != out
+        n_, s_, q_ = (v[:, train].sum(axis=1) for v in (count, added, squares))
+        every = np.maximum(n_.sum(axis=0), 1)
+        if scaling == "range":
+            spread = hi[:, train].max(axis=(0, 1)) - lo[:, train].min(axis=(0, 1))
+        elif scaling == "standardize":
+            spread = np.sqrt(np.maximum(0.0, q_.sum(axis=0) / every - (s_.sum(axis=0) / every) ** 2))
+        elif scaling == "robust":
+            spread = np.array([iqr.get((out, pos)) or 0.0 for pos in range(items)])
+        else:
+            spread = np.ones(items)
+        # Shifts cancel in distances: of the scaled space only the spreads count.
+        w = np.where(spread > 0, spread, 1.0)
+        means = np.where(n_ > 0, s_ / np.maximum(n_, 1), np.nan)
+        rules.append([{"segment": name, "c": [{"m": float(m), "w": float(v)} for m, v in zip(means[j], w, strict=True)]} for j, name in enumerate(names)])
+    # As an Arrow table: rows of Python would start workers only to be read.
+    parts = pa.list_(pa.struct([("segment", pa.array(names).type), ("c", pa.list_(pa.struct([("m", pa.float64()), ("w", pa.float64())])))]))
+    c = spark.createDataFrame(pa.table({"fold": range(folds), "cs": pa.array(rules, parts)}))
     apart = lambda v, p: ((v - p["m"]) / p["w"]) * ((v - p["m"]) / p["w"])
-    typed = F.array_min(F.transform("cs", lambda t: F.struct(total(F.zip_with(F.col("f"), t["c"], apart)).alias("d"), t["segment"].alias("segment"))))["segment"]
+    typed = F.array_min(F.transform("cs", lambda t: F.struct(total(F.zip_with(F.col("f"), t["c"], apart)).alias("d"), t["segment"].alias("segment"))))["segment"].cast(kind)
     told = d.join(F.broadcast(c), "fold").select("segment", (typed == F.col("segment")).cast("bigint").alias("ok"))
     out = told.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"))
     every = out.agg((F.sum("ok") / F.sum("n")).alias("accuracy"))

@@ -217,3 +217,17 @@ def test_patterns_have_few_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning")
     c.patterns.unpersist()
+
+
+def test_models_together_step_as_each_alone(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, u, g = rng.random((300, 4)), rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(0, 3, 300).astype(np.int32)
+    jobs = [B.Job(k, s, part, items, group) for k in (1, 3) for s in (0, 1) for part in (B.EVERYBODY, B.half(0), (7, 0.2, 0.2)) for items in (None, (0, 2)) for group in (None, 1)]
+    centres = [rng.random((j.k, 4 if j.items is None else 2)) for j in jobs]
+    centres[-1][1] = centres[-1][0]  # a tie: the lower group has everybody
+    monkeypatch.setattr(B, "CELLS", 500)
+    for job, c, got in zip(jobs, centres, B._grouped(list(zip(jobs, centres, strict=True)), u, x, g), strict=True):
+        mine = B._seen(job, u, x, g)[1]
+        d = ((mine[:, None] - c) ** 2).sum(axis=2)
+        one = d.argmin(axis=1)[:, None] == np.arange(job.k)
+        assert got == pytest.approx(np.concatenate([[d.min(axis=1).sum()], one.sum(axis=0), (one.T.astype(float) @ mine).ravel()]))

@@ -7,8 +7,9 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cohortlens.operators import study
+from cohortlens.operators import scaling, study, views
 
 
 def agreement(found, truth):
@@ -103,3 +104,41 @@ def test_choice_studies_write_what_to_launch(spark, tmp_path):
 
 def test_short_lists_say_nothing_of_reach(spark):
     assert "what_to_launch" not in study.choice_tables(choices_of(spark, 5, 42, 3), steps=40, burn=20)
+
+
+def ratings_with_gaps(spark, n=80):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        a, b, c = (float(v) for v in rng.normal([1 + 3 * (i % 2), 5 - 3 * (i % 2), 0], [0.5, 0.5, 1]))
+        rows.append((f"r{i:02}", None if i % 9 == 0 else a, float("inf") if i % 11 == 0 else b, float("nan") if i == 5 else c, None if i % 4 else 0.1, 7.0, None))
+    return spark.createDataFrame(rows, "id string, b double, a double, c double, flat double, same double, empty double").repartition(3)
+
+
+def test_people_are_mapped_as_the_long_form_says(spark):
+    df, items = ratings_with_gaps(spark), ["b", "a", "c", "flat", "same", "empty"]
+    people, kept, params = study._numeric(df, items)
+    assert kept == ["a", "b", "c"]
+    long = scaling.drop_constant(scaling.impute_mean(df.unpivot("id", items, "item", "x")))
+    for mine, want in (("raw", long), ("f", scaling.scale(long, "range"))):
+        got, whole = ({r["id"]: r["f"] for r in d.collect()} for d in (people.select("id", F.col(mine).alias("f")), views.to_features(want)))
+        assert got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i]) for i in whole)
+    assert params == {r["item"]: (r["shift"], r["spread"]) for r in scaling.scale_fit(long, "range").collect()}
+    people.unpersist()
+
+
+def test_a_study_of_few_people_is_few_tasks(spark):
+    """Tables are neither made anew for each look at them nor kept in as many parts as the session's joins have."""
+    df, sc = ratings_with_gaps(spark).persist(), spark.sparkContext
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    sc.setJobGroup("few tasks", "")
+    try:
+        s = study.run(df, "id", ["a", "b", "c"], 2, resamples=2)
+        assert s.tables["segment_sizes"].crossJoin(s.tables["variable_importance"]).count() == 6
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    track = sc.statusTracker()
+    stages = {i for j in track.getJobIdsForGroup("few tasks") for i in track.getJobInfo(j).stageIds}
+    assert 0 < sum(found.numCompletedTasks for i in stages if (found := track.getStageInfo(i))) < 200
